@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, sharding, simhash, urlfilter
+from . import mixing, quality, quality_rules, sharding, simhash, urlfilter
+from .common import held_out_remainder
 
 SHARDS = 8
 
@@ -20,6 +21,14 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels, held_out_remainder(F.col("doc_id"), 5) != 0)
+    rows = quality.score(docs, model)
+    held = held_out_remainder(F.col("doc_id"), 5) == 0
+    return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
@@ -41,6 +50,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mix": op2_mix,
+        "op3_quality": op3_quality,
         "op4_simhash": op4_simhash,
         "op5_quality_rules": op5_quality_rules,
         "op9_shard": op9_shard,
