@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, licenses, mixing, quality, quality_rules, sharding, simhash, urlfilter
+from . import html_extract, licenses, mixing, quality, quality_rules, sharding, simhash, toxicity, urlfilter
 from .common import held_out_remainder
 
 SHARDS = 8
@@ -42,6 +42,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, held_out_remainder(F.col("doc_id"), 4) != 2)
+    rows = toxicity.score(docs, model)
+    held = held_out_remainder(F.col("doc_id"), 4) == 2
+    return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -62,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": op3_quality,
         "op4_simhash": op4_simhash,
         "op5_quality_rules": op5_quality_rules,
+        "op7_toxicity": op7_toxicity,
         "op8_licenses": op8_licenses,
         "op9_shard": op9_shard,
         "op10_url_filter": op10_url_filter,
