@@ -3,11 +3,11 @@
 Sixteen voters (word lists, patterns, and lists of words mined from labelled rows) vote on every text. A generative label
 model, a two-class latent model fitted by expectation maximisation to the counts of all vote patterns, estimates each
 voter's hit rates; what pairs of voters agree on beyond that model is their correlation, and correlated voters share their
-weight. Its posterior is the label of a linear classifier over hashed words, which scores the texts; a logistic
-calibration on labelled rows sets its scale.
+weight. Its posterior is the label of a linear classifier over hashed words and beginnings of words, which scores the
+texts; a logistic calibration on labelled rows sets its scale.
 
-Labels are used for mining, the prior and the calibration, from the rows that the caller allows; the label model and the
-classifier learn from votes.
+Labels, from the rows that the caller allows, are used for mining, the prior and the calibration, and as one more voter of
+known accuracy on the rows that have them.
 """
 
 from __future__ import annotations
@@ -37,12 +37,18 @@ LISTS = {
 }
 MINED = 4
 #: Words of each mined voter, at most.
-MINED_WORDS = 16
+MINED_WORDS = 48
+#: Bytes of the beginnings of longer words that are features too.
+PREFIXES = (5, 6, 7, 8, 9)
+#: Accuracy of a label as a voter.
+LABEL_ACCURACY = 0.95
 PATTERNS = ("shout", "bangs", "you_are", "stacked")
 VOTERS = (*LISTS, *PATTERNS, *(f"mined_{i}" for i in range(MINED)))
 BITS = 20
 #: Words of the classifier, at most.
-VOCABULARY = 4096
+VOCABULARY = 2048
+#: Texts of the sample that a word must be in to be learned.
+MIN_TEXTS = 4
 #: Most labelled rows of each class for mining and calibration (the documented bound), chosen by a hash of their ids.
 SAMPLE = 2500
 THRESHOLD = 0.3
@@ -52,18 +58,36 @@ _BANGS = re.compile(rb"[!?]{3,}")
 _YOU_ARE = re.compile(rb"\b(?:you|u|he|she|they) (?:are|re|r|is) (?:a |an |all |such |so |just |nothing but )*(\w+)")
 
 
+def feature_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and 64-bit hashes of the words of folded data, which begins and ends with a space, and then of the
+    beginnings (of PREFIXES bytes) of its longer words."""
+    starts, h, prefix, back, ends = _hashes(data)
+    at, found = [starts], [_mix(h)]
+    for n in PREFIXES:
+        longer = starts[ends - starts > n]
+        at.append(longer)
+        found.append(_mix((prefix[longer + n] - prefix[longer]) * back[longer] + np.uint64(n << 8)))
+    return np.concatenate(at), np.concatenate(found)
+
+
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and 64-bit hashes of the words of folded data, which begins and ends with a space."""
+    """Starts and 64-bit hashes of the words alone."""
+    starts, h, _, _, _ = _hashes(data)
+    return starts, _mix(h)
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    return (h ^ (h >> np.uint64(31))) * _K
+
+
+def _hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     c = np.frombuffer(data, np.uint8)
     space = c == 32
     edges = np.flatnonzero(space[1:] != space[:-1]) + 1
     starts, ends = edges[0::2], edges[1::2]
-    if not len(starts):
-        return starts, np.zeros(0, np.uint64)
     prefix = np.r_[np.uint64(0), np.cumsum((c.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(c)), dtype=np.uint64)]
-    h = (prefix[ends] - prefix[starts]) * _powers(_BASE_BACK, len(c))[starts]
-    h = (h ^ (h >> np.uint64(31))) * _K
-    return starts, h
+    back = _powers(_BASE_BACK, len(c))
+    return starts, (prefix[ends] - prefix[starts]) * back[starts], prefix, back, ends
 
 
 def buckets(hashes: np.ndarray) -> np.ndarray:
@@ -75,8 +99,8 @@ def bucket_of(word: str) -> int:
 
 
 def presence(text: bytes) -> np.ndarray:
-    """Buckets of the distinct words of a whole text, ascending."""
-    found = [np.unique(buckets(word_hashes(b" " + part.translate(_FOLD) + b" ")[1])) for part in spans(text)]
+    """Buckets of the distinct words and beginnings of a whole text, ascending."""
+    found = [np.unique(buckets(feature_hashes(b" " + part.translate(_FOLD) + b" ")[1])) for part in spans(text)]
     return np.unique(np.concatenate(found))
 
 
@@ -110,7 +134,7 @@ class Voters:
     def _votes(self, batch: list[bytes]) -> np.ndarray:
         data = b"".join(b" " + t + b" " for t in batch).translate(_FOLD)
         heads = np.cumsum([0, *(len(t) + 2 for t in batch)])[:-1]
-        starts, h = word_hashes(data)
+        starts, h = feature_hashes(data)
         bits = self.lists[buckets(h)]
         hits = np.flatnonzero(bits)
         owner = np.searchsorted(heads, starts[hits], "right") - 1
@@ -174,7 +198,7 @@ class LabelModel:
         votes = ((patterns[:, None] >> np.arange(len(VOTERS))) & 1).astype(float)
         gain = votes * np.log(self.rates[1] / self.rates[0]) + (1 - votes) * np.log((1 - self.rates[1]) / (1 - self.rates[0]))
         z = np.log(self.prior / (1 - self.prior)) + gain @ self.share
-        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 @dataclass(frozen=True)
@@ -194,7 +218,7 @@ class Classifier:
     def _sums(self, batch: list[bytes]) -> np.ndarray:
         data = b"".join(b" " + t + b" " for t in batch).translate(_FOLD)
         heads = np.cumsum([0, *(len(t) + 2 for t in batch)])[:-1]
-        starts, h = word_hashes(data)
+        starts, h = feature_hashes(data)
         found = buckets(h)
         hits = np.flatnonzero(self.weights[found])
         if not len(hits):
@@ -234,7 +258,7 @@ def mine(sets: list[np.ndarray], labels: np.ndarray) -> list[list[int]]:
         return [[] for _ in range(MINED)]
     a, b = _counts(sets, labels), _counts(sets, 1.0 - labels)
     odds = np.log((a + 0.1) / (pos + 0.2)) - np.log((b + 0.1) / (neg + 0.2))
-    worth = np.where((a >= max(3, 0.02 * pos)) & (odds > np.log(8)), (a / pos) * odds, 0)
+    worth = np.where((a >= max(3, 0.004 * pos)) & (odds > np.log(8)), (a / pos) * odds, 0)
     best = [int(x) for x in np.argsort(-worth)[: MINED * MINED_WORDS] if worth[x] > 0]
     return [best[i::MINED] for i in range(MINED)]
 
@@ -280,38 +304,57 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
     patterns = docs.select(F.col("text").alias("_text")).mapInArrow(vote, "votes long").groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()
     model = LabelModel.fit(np.array([r["votes"] for r in patterns], np.int64), np.array([r["n"] for r in patterns], np.int64), share)
 
-    list_bits = voters.lists
-    columns = np.flatnonzero(list_bits)
-    if len(rows):
-        post = model.posterior(np.array([_pattern(list_bits, s) for s in sets]))
-        a, b = _counts(sets, post), _counts(sets, 1 - post)
-        odds = np.abs(np.log((a + 0.5) / (post.sum() + 1)) - np.log((b + 0.5) / ((1 - post).sum() + 1)))
-        common = np.where(a + b >= max(3, 0.01 * len(sets)), odds, 0)
-        columns = np.union1d(columns, np.argsort(-common)[: max(0, VOCABULARY - len(columns))][: np.count_nonzero(common)])
+    return Model(voters, model, fit_classifier(sets, y, share if both else None, voters, model))
+
+
+def fit_classifier(sets: list[np.ndarray], y: np.ndarray, share: float | None, voters: Voters, model: LabelModel) -> Classifier:
+    """The linear classifier from the label model's posteriors on the sample. share: of label 1 among all labels, or None
+    if the labels cannot be used."""
+    columns = np.flatnonzero(voters.lists)
+    post = np.zeros(0)
+    if len(sets):
+        post = model.posterior(np.array([_pattern(voters.lists, s) for s in sets]))
+        if share is not None:
+            z = np.log(post / (1 - post)) + (2 * y - 1) * np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
+            post = 1 / (1 + np.exp(-z))
+        worth = _information(_counts(sets, post), _counts(sets, 1 - post), post.sum(), (1 - post).sum())
+        columns = np.union1d(columns, np.argsort(-worth)[: min(max(0, VOCABULARY - len(columns)), np.count_nonzero(worth))])
     place = np.full(1 << BITS, -1)
     place[columns] = np.arange(len(columns))
-    features = [place[s][place[s] >= 0] for s in sets]
     # words of the lists that the sample lacks keep the label model's gain as their weight
-    gain = (np.log(model.rates[1] / model.rates[0]) * model.share)[None, :]
-    default = np.maximum((((list_bits[columns][:, None] >> np.arange(len(VOTERS))) & 1) * gain).max(axis=1), 0) if len(columns) else np.zeros(0)
-    if both:
-        have = np.array([(y == 0).mean(), (y == 1).mean()])
-        weight = np.where(y == 1, share / have[1], (1 - share) / have[0])
-        w, b0 = _logistic(features, post, weight, len(columns))
-    else:
-        w, b0 = np.zeros(len(columns)), float(np.log(model.prior / (1 - model.prior)))
+    gain = np.log(model.rates[1] / model.rates[0]) * model.share
+    w = np.maximum((((voters.lists[columns][:, None] >> np.arange(len(VOTERS))) & 1) * gain).max(axis=1, initial=0), 0)
+    weights = np.zeros(1 << BITS)
+    if share is None:
+        weights[columns] = w
+        return Classifier(weights.astype(np.float32), 1.0, float(np.log(model.prior / (1 - model.prior))))
+    features = [place[s][place[s] >= 0] for s in sets]
+    weight = np.where(y == 1, share / (y == 1).mean(), (1 - share) / (y == 0).mean())
+    # out of fold sums, so that the calibration sees what new texts get
+    z, fold = np.zeros(len(y)), np.arange(len(y)) % 5
+    for k in range(5):
+        use = np.flatnonzero(fold != k)
+        wk, bk = _logistic([features[i] for i in use], post[use], weight[use], len(columns))
+        z[fold == k] = [wk[features[i]].sum() + bk for i in np.flatnonzero(fold == k)]
+    slope, offset = _calibrate(z, y, weight)
+    learned, b = _logistic(features, post, weight, len(columns))
     seen = np.zeros(len(columns), bool)
     for f in features:
         seen[f] = True
-    w = np.where(seen & both, w, default)
-    weights = np.zeros(1 << BITS)
-    weights[columns] = w
-    slope, offset = 1.0, b0
-    if both:
-        z = np.array([weights[s].sum() for s in sets]) + b0
-        slope, offset = _calibrate(z, y, weight)
-        offset += slope * b0
-    return Model(voters, model, Classifier(weights.astype(np.float32), slope, offset))
+    weights[columns] = np.where(seen, learned, w)
+    return Classifier(weights.astype(np.float32), slope, offset + slope * b)
+
+
+def _information(a: np.ndarray, b: np.ndarray, pos: float, neg: float) -> np.ndarray:
+    """Mutual information of a feature's presence (in a of pos and b of neg texts) and the class; 0 for rare features."""
+    n = pos + neg
+
+    def part(joint: np.ndarray, row: np.ndarray, column: float) -> np.ndarray:
+        return np.where(joint > 0, joint * np.log(np.maximum(joint, 1e-12) * n / np.maximum(row * column, 1e-12)), 0)
+
+    has, lacks = a + b, n - a - b
+    info = part(a, has, pos) + part(b, has, neg) + part(pos - a, lacks, pos) + part(neg - b, lacks, neg)
+    return np.where(has >= MIN_TEXTS, info, 0)
 
 
 def _pattern(lists: np.ndarray, words: np.ndarray) -> int:
