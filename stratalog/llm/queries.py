@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, licenses, mixing, quality, quality_rules, sharding, simhash, toxicity, urlfilter
+from . import decontaminate, html_extract, licenses, mixing, quality, quality_rules, sharding, simhash, toxicity, urlfilter
 from .common import held_out_remainder
 
 SHARDS = 8
@@ -42,6 +42,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_row")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels, held_out_remainder(F.col("doc_id"), 4) != 2)
@@ -70,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": op3_quality,
         "op4_simhash": op4_simhash,
         "op5_quality_rules": op5_quality_rules,
+        "op6_decontaminate": op6_decontaminate,
         "op7_toxicity": op7_toxicity,
         "op8_licenses": op8_licenses,
         "op9_shard": op9_shard,
