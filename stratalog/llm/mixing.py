@@ -7,6 +7,7 @@ is summed row by row. Whole epochs come first, the rest is cut at the exact budg
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -32,11 +33,21 @@ class MixPlan:
     n_sources: int
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, size: Column, seed: int) -> DataFrame:
+@dataclass(frozen=True)
+class Columns:
+    """Where the mix finds ids and sources, and how it sizes and tells apart texts."""
+
+    id: str = "doc_id"
+    source: str = "source"
+    size: Callable[[], Column] = lambda: word_count(F.col("text"))
+    mark: Callable[[], Column] = lambda: F.xxhash64("text")
+
+
+def _keyed(docs: DataFrame, c: Columns, seed: int) -> DataFrame:
     return docs.withColumns({
-        "_mix_source": F.col(source_col),
-        "_mix_size": size.cast("long"),
-        "_mix_key": F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)),
+        "_mix_source": F.col(c.source),
+        "_mix_size": c.size().cast("long"),
+        "_mix_key": F.xxhash64(F.lit(seed), F.col(c.id), c.mark()),
     }).withColumn("_mix_bucket", F.shiftrightunsigned("_mix_key", 64 - BUCKET_BITS))
 
 
@@ -71,12 +82,9 @@ def fill_targets(sources: DataFrame, weights: tuple[float, ...], share: float, m
     return s.withColumn("target", F.least(F.col("_limit"), F.col("_weight") * F.lit(level)) if row["open"] else F.col("_limit"))
 
 
-def plan_mix(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None,
-    weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = 11,
-) -> MixPlan:
+def plan_mix(docs: DataFrame, columns: Columns = Columns(), weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = 11) -> MixPlan:
     """Targets and cuts of every source of docs. Documents without words and sources without words get nothing."""
-    keyed = _keyed(docs, id_col, text_col, source_col, word_count(F.col(text_col)) if size is None else size, seed)
+    keyed = _keyed(docs, columns, seed)
     buckets = checkpoint(keyed.groupBy("_mix_source", "_mix_bucket").agg(F.sum("_mix_size").alias("_n")))
     ranked = ranked_sources(buckets.groupBy("_mix_source").agg(F.sum("_n").alias("source_size")))
     targets = fill_targets(ranked, weights, share, max_epochs)
@@ -99,13 +107,13 @@ def plan_mix(
     return MixPlan(checkpoint(plan.withColumnRenamed("_mix_source", "_plan_source")), n)
 
 
-def apply_mix(docs: DataFrame, plan: MixPlan, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, seed: int = 11) -> DataFrame:
+def apply_mix(docs: DataFrame, plan: MixPlan, columns: Columns = Columns(), seed: int = 11) -> DataFrame:
     """docs, all their columns, with _mix_size, source_size, target and _mix_taken (size units taken, repeats counted).
 
     Sources are joined by a broadcast only while they are few. The row-by-row sums run over one key bucket of each source.
     Documents with equal keys (repeated rows) stand side by side in any order; their sum is the same.
     """
-    keyed = _keyed(docs, id_col, text_col, source_col, word_count(F.col(text_col)) if size is None else size, seed)
+    keyed = _keyed(docs, columns, seed)
     rows = keyed.join(broadcast_if_small(plan.sources, plan.n_sources), F.col("_mix_source").eqNullSafe(F.col("_plan_source")), "left")
     at_cut = F.coalesce(F.col("_mix_bucket") == F.col("_cut_bucket"), F.lit(False))
     whole = F.col("_epochs") * F.col("_mix_size")
@@ -120,8 +128,8 @@ def apply_mix(docs: DataFrame, plan: MixPlan, *, id_col: str = "doc_id", text_co
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, size (words), source_size, target, taken. Null sources are one source, the last; null texts have size 0."""
     narrow = checkpoint(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_mark")))
-    kw = {"text_col": "_mark", "size": F.col("size")}
-    out = apply_mix(narrow, plan_mix(narrow, **kw, **options), **kw)
+    columns = Columns(size=lambda: F.col("size"), mark=lambda: F.col("_mark"))
+    out = apply_mix(narrow, plan_mix(narrow, columns, **options), columns)
     return out.select("doc_id", "size", "source_size", "target", F.col("_mix_taken").alias("taken"))
 
 

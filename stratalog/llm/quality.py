@@ -26,7 +26,8 @@ SHAPES = 24
 DIM = 12
 #: Most labelled rows of each class that the model is fitted on (the documented bound), chosen by a hash of their ids.
 SAMPLE = 2000
-EPOCHS = 6
+#: Gradient steps, one text each, whatever the size of the sample.
+STEPS = 24_000
 RATE = 0.4
 THRESHOLD = 0.3
 #: Bytes of one text whose features are taken at once; longer texts are cut there at white space.
@@ -50,8 +51,9 @@ def _bucket(x: np.ndarray, salt: int) -> np.ndarray:
     return ((z * _K) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def byte_features(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(start, bucket) arrays of all features in data, which begins and ends with a space.
+def byte_features(data: bytes, heads: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(start, bucket) arrays of all features in data, which begins and ends with a space. heads: where its texts begin, if
+    it holds several; no pair goes from one to the next.
 
     Words and pairs are hashed as wholes; a pair of equal words has the same bucket whatever the word.
     """
@@ -65,7 +67,9 @@ def byte_features(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         prefix = np.r_[np.uint64(0), np.cumsum((wide + np.uint64(1)) * _powers(_BASE, len(c)), dtype=np.uint64)]
         words = (prefix[ends] - prefix[starts]) * _powers(_BASE_BACK, len(c))[starts]
         yield starts, _bucket(words, 1)
-        yield starts[1:], _bucket(words[1:] ^ words[:-1] if len(words) > 1 else words[1:], 2)
+        owner = np.zeros(len(starts), np.int64) if heads is None else np.searchsorted(heads, starts, "right")
+        second = 1 + np.flatnonzero(owner[1:] == owner[:-1])
+        yield starts[second], _bucket(words[second] ^ words[second - 1], 2)
     three = wide[:-2] | wide[1:-1] << np.uint64(8) | wide[2:] << np.uint64(16)
     inside = np.flatnonzero(~space[1:-1])
     yield inside, _bucket(three[inside], 3)
@@ -135,7 +139,7 @@ class Model:
         data = b"".join(b" " + t + b" " for t in batch)
         heads = np.cumsum([0, *(len(t) + 2 for t in batch)])[:-1]
         sums, counts = np.zeros(len(batch)), np.zeros(len(batch))
-        for at, bucket in byte_features(data):
+        for at, bucket in byte_features(data, heads):
             if not len(at):
                 continue
             cuts = np.searchsorted(at, heads)
@@ -155,8 +159,8 @@ def fit(rows: list[tuple[bytes, bytes, list[int], int]], weights: tuple[float, f
     table = rng.normal(0, 0.1 / DIM, ((1 << BITS) + SHAPES, DIM)).astype(np.float32)
     out = rng.normal(0, 0.1, (2, DIM)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    steps = EPOCHS * len(rows)
-    for step, k in enumerate(np.concatenate([rng.permutation(len(rows)) for _ in range(EPOCHS)])):
+    order = np.concatenate([rng.permutation(len(rows)) for _ in range(-(-STEPS // len(rows)))])[:STEPS]
+    for step, k in enumerate(order):
         packed, counts, shapes, y = rows[k]
         n = np.frombuffer(counts, np.uint16).astype(np.float32)
         ids = np.r_[np.frombuffer(packed, np.uint16).astype(np.int64), np.array(shapes, np.int64)]
@@ -166,7 +170,7 @@ def fit(rows: list[tuple[bytes, bytes, list[int], int]], weights: tuple[float, f
         p = np.exp(z - z.max())
         p /= p.sum()
         p[y] -= 1
-        g = p * np.float32(RATE * (1 - step / steps) * weights[y])
+        g = p * np.float32(RATE * (1 - step / STEPS) * weights[y])
         back = g @ out
         out -= g[:, None] * hidden
         bias -= g
