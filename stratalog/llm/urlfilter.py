@@ -100,7 +100,7 @@ def judge_urls(pages: DataFrame, rules=RULES, seeds=SEEDS, id_col: str = "page_i
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
     shape = F.regexp_replace(F.lower(F.concat("host", "path")), r"\d+", "0")
     rows = rows.withColumn("rule", rule).withColumn("_verdict", verdict).withColumn("_shape", shape)
-    marked = F.arrays_overlap(F.split("host", r"[.\-_]"), F.array(*[F.lit(s) for s in seeds]))
+    marked = F.arrays_overlap(F.split("host", r"[.\-_\d]+"), F.array(*[F.lit(s) for s in seeds]))
     strings = rows.select("_shape", marked.alias("_marked"), "_verdict").groupBy(F.col("_shape").alias("shape")).agg(
         F.log1p(F.count(F.lit(1)).cast("double")).alias("weight"),
         F.bool_or("_marked").alias("rejected"),
