@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import texts
+from .arrow import slices, texts
 
 #: Blocks of fewer words are short; blocks of this many words and enough stop words are decided.
 SHORT, LONG = 10, 20
@@ -241,7 +241,7 @@ def main_text(page: str) -> str:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         found = [main_text(t.decode("utf-8", "replace")) for t in texts(batch.column("_html"))]
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], ["page_id", "url", "text", "n_chars"]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import texts
+from .arrow import slices, texts
 
 #: Phrases and their labels. Fixed values.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -196,7 +196,7 @@ SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word lon
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     spans = pa.list_(pa.struct([("name", pa.string()), ("first", pa.int64()), ("stop", pa.int64())]))
-    for batch in batches:
+    for batch in slices(batches):
         found = [scan(t) for t in texts(batch.column("_text"))]
         columns = {
             "n_words": pa.array([s.n_words for s in found], pa.int64()),

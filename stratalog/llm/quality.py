@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import pieces, texts
+from .arrow import pieces, slices, texts
 
 #: Buckets of hashed features; shape tokens come after them.
 BITS = 16
@@ -191,15 +191,12 @@ def labelled_sample(labels: DataFrame, label_col: str, learn: Column, per_class:
 
 
 def _sparse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 64):
         values = texts(batch.column("_text"))
-        for a in range(0, len(values), 64):
-            found = [sparse(t) for t in values[a : a + 64]]
-            cut = batch.slice(a, 64)
-            yield pa.RecordBatch.from_arrays(
-                [cut.column("doc_id"), cut.column("label"), pa.array([i.tobytes() for i, _ in found]), pa.array([n.tobytes() for _, n in found]), pa.array([shape_tokens(t) for t in values[a : a + 64]], pa.list_(pa.int64()))],
-                ["doc_id", "label", "ids", "counts", "shapes"],
-            )
+        found = [sparse(t) for t in values]
+        packed = [pa.array([x[k].tobytes() for x in found]) for k in (0, 1)]
+        shapes = pa.array([shape_tokens(t) for t in values], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *packed, shapes], ["doc_id", "label", "ids", "counts", "shapes"])
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", per_class: int = SAMPLE) -> Model:
@@ -219,7 +216,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.scores(texts(batch.column("_text"))))], ["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
@@ -231,7 +228,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             good = shared.value.scores(texts(batch.column(text_col))) >= threshold
             yield batch.filter(pa.array(good))
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import texts
+from .arrow import slices, texts
 from .common import checkpoint
 from .components import connected_components
 
@@ -63,7 +63,7 @@ def fingerprint(text: bytes) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         found = np.array([fingerprint(t) for t in texts(batch.column("_text"))], dtype=np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_row"), pa.array(found)], ["doc_id", "_row", "fp"])
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import pieces, texts
+from .arrow import pieces, slices, texts
 from .quality import _BASE, _BASE_BACK, _K, _powers, labelled_sample, spans
 
 #: Word lists, one voter each. Fixed values.
@@ -264,13 +264,9 @@ def mine(sets: list[np.ndarray], labels: np.ndarray) -> list[list[int]]:
 
 
 def _presence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        values = texts(batch.column("_text"))
-        for a in range(0, len(values), 64):
-            cut = batch.slice(a, 64)
-            yield pa.RecordBatch.from_arrays(
-                [cut.column("doc_id"), cut.column("label"), pa.array([presence(t).astype(np.uint32).tobytes() for t in values[a : a + 64]])], ["doc_id", "label", "words"]
-            )
+    for batch in slices(batches, 64):
+        words = pa.array([presence(t).astype(np.uint32).tobytes() for t in texts(batch.column("_text"))])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), words], ["doc_id", "label", "words"])
 
 
 @dataclass(frozen=True)
@@ -297,7 +293,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
     shared = docs.sparkSession.sparkContext.broadcast(voters)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array(shared.value.votes(texts(batch.column("_text"))))], ["votes"])
 
     # at most 2 ** 16 patterns: a proven bound
@@ -384,7 +380,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model.classifier)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.scores(texts(batch.column("_text"))))], ["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
