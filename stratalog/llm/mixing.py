@@ -21,6 +21,8 @@ SHARE = 1.5
 MAX_EPOCHS = 2.0
 #: Key buckets of each source; a bucket of the largest source is what one task sums row by row.
 BUCKET_BITS = 12
+#: Bits of a row's random key.
+KEY_BITS = 60
 #: Range partitions in which the sources are ranked.
 RANK_PARTITIONS = 16
 
@@ -40,15 +42,21 @@ class Columns:
     id: str = "doc_id"
     source: str = "source"
     size: Callable[[], Column] = lambda: word_count(F.col("text"))
-    mark: Callable[[], Column] = lambda: F.xxhash64("text")
+    mark: Callable[[], Column] = lambda: F.md5("text")
+
+
+def hash_key(id: Column, mark: Column, seed: int) -> Column:
+    """The random key of a row: bits of an MD5 sum, which other engines can compute too."""
+    text = F.concat_ws("|", F.lit(str(seed)), F.coalesce(id.cast("string"), F.lit("")), F.coalesce(mark, F.lit("")))
+    return F.conv(F.substring(F.md5(text), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
 def _keyed(docs: DataFrame, c: Columns, seed: int) -> DataFrame:
     return docs.withColumns({
         "_mix_source": F.col(c.source),
         "_mix_size": c.size().cast("long"),
-        "_mix_key": F.xxhash64(F.lit(seed), F.col(c.id), c.mark()),
-    }).withColumn("_mix_bucket", F.shiftrightunsigned("_mix_key", 64 - BUCKET_BITS))
+        "_mix_key": hash_key(F.col(c.id), c.mark(), seed),
+    }).withColumn("_mix_bucket", F.shiftright("_mix_key", KEY_BITS - BUCKET_BITS))
 
 
 def ranked_sources(totals: DataFrame) -> DataFrame:
@@ -127,7 +135,7 @@ def apply_mix(docs: DataFrame, plan: MixPlan, columns: Columns = Columns(), seed
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, size (words), source_size, target, taken. Null sources are one source, the last; null texts have size 0."""
-    narrow = checkpoint(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_mark")))
+    narrow = checkpoint(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5("text").alias("_mark")))
     columns = Columns(size=lambda: F.col("size"), mark=lambda: F.col("_mark"))
     out = apply_mix(narrow, plan_mix(narrow, columns, **options), columns)
     return out.select("doc_id", "size", "source_size", "target", F.col("_mix_taken").alias("taken"))

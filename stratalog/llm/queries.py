@@ -39,7 +39,8 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    rows = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.withColumn("broken", F.array_join("broken", ","))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,5 +83,84 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_MIX = """
+WITH rows AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END AS size,
+    CAST('0x' || substr(md5(concat_ws('|', '11', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(md5(text), ''))), 1, 15) AS BIGINT) AS key FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 2.0::DOUBLE * CAST(sum(size) AS DOUBLE) AS most,
+    [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT)] AS weight FROM rows GROUP BY source),
+filled AS (SELECT *, coalesce(sum(most) OVER up, 0) + most AS used, (SELECT sum(weight) FROM sources) - coalesce(sum(weight) OVER up, 0) - weight AS open,
+    lead(most / weight) OVER (ORDER BY most / weight, source) AS next, most / weight AS ratio
+    FROM sources WINDOW up AS (ORDER BY most / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+total AS (SELECT 1.5::DOUBLE * CAST(sum(source_size) AS DOUBLE) AS t, sum(weight) AS w FROM sources),
+levels AS (SELECT t / w AS level, min(ratio) AS next, 0 AS k FROM total, filled GROUP BY t, w
+    UNION ALL SELECT (t - used) / open, next, row_number() OVER (ORDER BY ratio, source) FROM filled, total WHERE open > 0),
+level AS (SELECT level FROM levels WHERE next > level OR next IS NULL ORDER BY k LIMIT 1),
+targets AS (SELECT source, source_size, least(most, weight * level) AS target FROM sources, level),
+cut AS (SELECT *, CAST(round(target) AS BIGINT) AS budget FROM targets),
+runs AS (SELECT r.doc_id, r.size, c.source_size, c.target, CASE WHEN c.source_size > 0 THEN c.budget // c.source_size ELSE 0 END AS epochs,
+    CASE WHEN c.source_size > 0 THEN c.budget % c.source_size ELSE 0 END AS rest,
+    coalesce(sum(r.size) OVER (PARTITION BY r.source ORDER BY r.key, r.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM rows r JOIN cut c ON r.source IS NOT DISTINCT FROM c.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(epochs * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM runs
+"""
+
+_SLOT = " ".join(f"WHEN t IN ({', '.join(repr(w) for w in words)}) THEN '{name}'" for name, words in decontaminate.SLOTS.items())
+_CANON = f"CASE WHEN ascii(t) < 58 THEN '#number' {_SLOT} ELSE t END"
+
+_LEAKS = f"""
+WITH RECURSIVE d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+dt AS (SELECT doc_id, text, regexp_extract_all(lower(text), '\\d+(?:[.,]\\d+)*|[\\p{{L}}\\p{{M}}]+') AS said FROM d),
+dk AS (SELECT doc_id, md5(text) AS row, said, list_transform(said, lambda t: {_CANON}) AS kinds FROM dt),
+it AS (SELECT DISTINCT item_id, text, regexp_extract_all(lower(text), '\\d+(?:[.,]\\d+)*|[\\p{{L}}\\p{{M}}]+') AS said FROM benchmark WHERE item_id IS NOT NULL),
+ik AS (SELECT item_id, said, list_transform(said, lambda t: {_CANON}) AS kinds FROM it),
+iw AS (SELECT item_id, said, i, array_to_string(kinds[i:i + 4], ' ') AS w, len(list_filter(kinds[i:i + 4], lambda t: starts_with(t, '#'))) AS slots FROM ik, unnest(range(1, len(kinds) - 3)) u(i)),
+iv AS (SELECT * FROM iw WHERE 5 - slots >= 3),
+sizes AS (SELECT item_id, count(DISTINCT w) AS n_windows FROM iv GROUP BY 1),
+dw AS (SELECT doc_id, row, said, i, array_to_string(kinds[i:i + 4], ' ') AS w FROM dk, unnest(range(1, len(kinds) - 3)) u(i)),
+hits AS (SELECT dw.doc_id, dw.row, iv.item_id, dw.w, iv.slots, dw.i AS di, iv.i AS ii, dw.said AS ds, iv.said AS s FROM dw JOIN iv USING (w)),
+found AS (SELECT doc_id, row, item_id, count(DISTINCT w) AS n_hits FROM hits GROUP BY ALL),
+cells AS (SELECT DISTINCT doc_id, row, item_id, di - ii AS shift, ii + k AS place, s[ii + k] AS a, ds[di + k] AS b FROM hits, unnest(range(0, 5)) u(k) WHERE slots > 0),
+slots AS (SELECT doc_id, row, item_id, shift, a, b, count(*) AS n FROM (SELECT *, a AS t FROM cells) WHERE starts_with({_CANON}, '#') GROUP BY ALL),
+kept AS (SELECT doc_id, row, item_id, shift, a, sum(n) AS every, max(n) AS same, bool_or(a <> b) AS other FROM slots GROUP BY ALL),
+agreed AS (SELECT doc_id, row, item_id, CAST(sum(every) AS BIGINT) AS n_slots, sum(same)::DOUBLE / sum(every)::DOUBLE AS agreement, bool_or(other) AS other FROM kept GROUP BY ALL)
+SELECT f.doc_id, f.item_id, n_windows, n_hits, n_hits / n_windows AS containment, coalesce(n_slots, 0) AS n_slots, coalesce(agreement, 1.0::DOUBLE) AS slot_agreement, coalesce(other, false) AS reparameterised
+FROM found f JOIN sizes USING (item_id) LEFT JOIN agreed g ON f.doc_id IS NOT DISTINCT FROM g.doc_id AND f.row = g.row AND f.item_id = g.item_id
+WHERE n_hits / n_windows >= {decontaminate.CONTAINMENT} AND coalesce(agreement, 1) >= {decontaminate.AGREEMENT}
+"""
+
+
+_RISK = quality_rules.Risk()
+_SHARES = {n: e.replace(" / ", "::DOUBLE / ") for n, e in quality_rules.STATISTICS.items()}
+_ALPHA = _RISK.alpha / len(_SHARES)
+
+_RULES = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words FROM d),
+win AS (SELECT r, i, array_to_string(words[i:i + 4], ' ') AS s FROM w, unnest(range(1, len(words) - 3)) u(i)),
+twice AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, s) > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, unnest(range(0, 5)) u(k) GROUP BY r),
+lines AS (SELECT r, l FROM d, unnest(string_split(text, chr(10))) u(l) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]')),
+counted AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY r),
+f AS (SELECT d.r, doc_id, stratum, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+    length(text) - length(translate(text, '{quality_rules.SYMBOLS}', '')) AS n_symbols, coalesce(counted.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+    coalesce(n_lines, 0) AS n_lines, length(text) - length(translate(text, '{quality_rules.UPPER}', '')) AS n_upper, length(text) - length(translate(text, '!', '')) AS n_bang
+    FROM d JOIN w USING (r) LEFT JOIN covered USING (r) LEFT JOIN counted USING (r)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, [{", ".join(_SHARES.values())}] AS shares FROM f),
+marks AS (SELECT doc_id, max(quality) AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
+held AS (SELECT stratum, good, shares FROM b JOIN marks USING (doc_id) WHERE NOT base_failed),
+ladder AS (SELECT unnest(range(0, {len(quality_rules.LADDER)})) AS rung, unnest({list(quality_rules.LADDER)}::DOUBLE[]) AS c),
+tested AS (SELECT stratum, j, rung, c, count(*) FILTER (good = 1) AS n, count(*) FILTER (good = 1 AND shares[j] > c) AS k, count(*) FILTER (good <> 1 AND shares[j] > c) AS caught
+    FROM held, unnest(range(1, {len(_SHARES) + 1})) u(j), ladder GROUP BY ALL),
+tails AS (SELECT *, CASE WHEN k >= n * {_ALPHA}::DOUBLE THEN 1 ELSE list_sum(list_transform(range(0, k + 1),
+    lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_ALPHA}::DOUBLE) + (n - i) * ln(1 - {_ALPHA}::DOUBLE)))) END AS tail FROM tested),
+walked AS (SELECT *, max(CASE WHEN tail > {_RISK.delta}::DOUBLE / greatest(1, (SELECT count(DISTINCT stratum) FROM held) * {len(_SHARES)}) THEN 1 ELSE 0 END)
+    OVER (PARTITION BY stratum, j ORDER BY rung) AS fails, caught - {_RISK.cost} * k AS worth FROM tails),
+best AS (SELECT stratum, j, c FROM walked WHERE fails = 0 AND worth > 0 QUALIFY row_number() OVER (PARTITION BY stratum, j ORDER BY worth DESC, rung) = 1),
+broken AS (SELECT r, list(({list(_SHARES)})[j] ORDER BY j) AS broken FROM b JOIN best USING (stratum) WHERE shares[j] > c GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND broken IS NULL AS kept, coalesce(array_to_string(broken, ','), '') AS broken
+FROM b LEFT JOIN broken USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mix": _MIX, "op5_quality_rules": _RULES, "op6_decontaminate": _LEAKS}

@@ -182,10 +182,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     prints = checkpoint(fingerprints(docs, id_col, text_col))
     distinct = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     nodes = connected_components(link_fingerprints(distinct.select("fp"), radius))
-    roots = distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    roots = checkpoint(roots)
-    groups = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    members = roots.select("fp", "root").join(groups, "root").select("fp", "component_id")
+    linked = checkpoint(distinct.join(nodes.withColumnRenamed("node", "fp"), "fp"))
+    # written apart, so that a group of many fingerprints can be split in the join with its name
+    names = checkpoint(linked.groupBy("root").agg(F.min("least").alias("name")))
+    named = linked.select("fp", "root").join(names, "root").select("fp", "name")
+    members = distinct.join(named, "fp", "left").select("fp", F.coalesce("name", "least").alias("component_id"))
     return prints.join(members, "fp").select("doc_id", "_row", "fp", "component_id")
 
 
