@@ -174,7 +174,8 @@ def link_fingerprints(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, _row, fp and component_id, the smallest doc_id reachable over links.
+    """Per document: doc_id, _row, fp, root (a fingerprint that names the group) and component_id, the smallest doc_id
+    reachable over links.
 
     Texts without words share fingerprint 0 and so are one group. Null ids are grouped like others but never name a
     group, unless all ids of the group are null. Repeated rows stay as they are. Other columns are not read.
@@ -185,9 +186,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     linked = checkpoint(distinct.join(nodes.withColumnRenamed("node", "fp"), "fp"))
     # written apart, so that a group of many fingerprints can be split in the join with its name
     names = checkpoint(linked.groupBy("root").agg(F.min("least").alias("name")))
-    named = linked.select("fp", "root").join(names, "root").select("fp", "name")
-    members = distinct.join(named, "fp", "left").select("fp", F.coalesce("name", "least").alias("component_id"))
-    return prints.join(members, "fp").select("doc_id", "_row", "fp", "component_id")
+    named = linked.select("fp", "root").join(names, "root")
+    # so that both sides of the last join are plain shuffles: a fingerprint of very many copies can be split
+    members = distinct.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("name", "least").alias("component_id"))
+    members = checkpoint(members)
+    return prints.join(members, "fp").select("doc_id", "_row", "fp", "root", "component_id")
 
 
 def fingerprint_hex(fp: str) -> Column:
@@ -198,7 +201,7 @@ def keep_one_of_each_group(docs: DataFrame, radius: int = RADIUS, id_col: str =
     """docs, all their columns, without the near-duplicates: of each group one row stays, that with the smallest id."""
     found = near_duplicates(docs, radius, id_col, text_col)
     # a group of equal ids, or of null ids alone, keeps one row too
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "component_id").agg(F.min("_row").alias("_row"))
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min_by("doc_id", "_row").alias("doc_id"), F.min("_row").alias("_row"))
     keys = first.select(_id_key("doc_id").alias("_id"), "_row")
     rows = docs.withColumns({"_id": _id_key(id_col), "_row": F.xxhash64(F.col(text_col))})
     kept = rows.join(keys, ["_id", "_row"], "left_semi")

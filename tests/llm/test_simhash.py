@@ -119,4 +119,6 @@ def test_edges(spark, edge_docs, no_docs):
     assert sorted(str((r["doc_id"], r["fp"] % 2**64, r["component_id"])) for r in got) == want
     kept = simhash.keep_one_of_each_group(edge_docs)
     assert kept.columns == edge_docs.columns and kept.count() == len(set(groups(list(range(len(rows))), fps)))
+    nameless = spark.createDataFrame([(None, "one text of some words"), (None, "another one of other words"), (None, "one text of some words")], "doc_id long, text string")
+    assert sorted(r["text"] for r in simhash.keep_one_of_each_group(nameless).collect()) == ["another one of other words", "one text of some words"]
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.keep_one_of_each_group(no_docs).count() == 0
