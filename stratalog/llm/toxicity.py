@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import pieces, slices, texts
+from .common import checkpoint
 from .quality import _BASE, _BASE_BACK, _K, _powers, labelled_sample, spans
 
 #: Word lists, one voter each. Fixed values.
@@ -282,8 +283,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
     Without labels of both classes nothing is mined or calibrated and the word lists alone decide.
     """
     sample, totals = labelled_sample(labels, label_col, learn, per_class)
-    picked = docs.select(F.col("doc_id"), F.col("text").alias("_text")).join(F.broadcast(sample), "doc_id")  # 2 * per_class rows at most
-    rows = picked.mapInArrow(_presence_rows, "doc_id long, label int, words binary").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    picked = docs.select(F.col("doc_id").cast("long"), F.col("text").alias("_text")).join(F.broadcast(sample), "doc_id")
+    # 2 * per_class rows at most, as a repeated id gives one; written once, so that words and votes are of the same text
+    picked = checkpoint(picked.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("_text").alias("_text")))
+    rows = picked.mapInArrow(_presence_rows, "doc_id long, label int, words binary").orderBy("doc_id").collect()
     sets = [np.frombuffer(r["words"], np.uint32).astype(np.int64) for r in rows]
     y = np.array([r["label"] for r in rows], float)
     both = len(set(y.tolist())) == 2
@@ -294,22 +297,24 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(shared.value.votes(texts(batch.column("_text"))))], ["votes"])
+            votes = pa.array(shared.value.votes(texts(batch.column("_text"))))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "_text"), votes], [*(c for c in batch.schema.names if c != "_text"), "votes"])
 
+    own = picked.select("doc_id", "_text").mapInArrow(vote, "doc_id long, votes long").orderBy("doc_id").collect()
     # at most 2 ** 16 patterns: a proven bound
     patterns = docs.select(F.col("text").alias("_text")).mapInArrow(vote, "votes long").groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()
     model = LabelModel.fit(np.array([r["votes"] for r in patterns], np.int64), np.array([r["n"] for r in patterns], np.int64), share)
 
-    return Model(voters, model, fit_classifier(sets, y, share if both else None, voters, model))
+    return Model(voters, model, fit_classifier(sets, y, np.array([r["votes"] for r in own], np.int64), share if both else None, voters, model))
 
 
-def fit_classifier(sets: list[np.ndarray], y: np.ndarray, share: float | None, voters: Voters, model: LabelModel) -> Classifier:
-    """The linear classifier from the label model's posteriors on the sample. share: of label 1 among all labels, or None
-    if the labels cannot be used."""
+def fit_classifier(sets: list[np.ndarray], y: np.ndarray, patterns: np.ndarray, share: float | None, voters: Voters, model: LabelModel) -> Classifier:
+    """The linear classifier from the label model's posteriors on the sample. patterns: all votes on each of its texts.
+    share: of label 1 among all labels, or None if the labels cannot be used."""
     columns = np.flatnonzero(voters.lists)
     post = np.zeros(0)
     if len(sets):
-        post = model.posterior(np.array([_pattern(voters.lists, s) for s in sets]))
+        post = model.posterior(patterns)
         if share is not None:
             z = np.log(post / (1 - post)) + (2 * y - 1) * np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
             post = 1 / (1 + np.exp(-z))
@@ -353,13 +358,6 @@ def _information(a: np.ndarray, b: np.ndarray, pos: float, neg: float) -> np.nda
     return np.where(has >= MIN_TEXTS, info, 0)
 
 
-def _pattern(lists: np.ndarray, words: np.ndarray) -> int:
-    """The word-list votes of a set of words, and the vote for several hits."""
-    bits = lists[words]
-    out = int(np.bitwise_or.reduce(bits, initial=np.uint32(0)))
-    return out | (1 << (len(LISTS) + 3) if np.count_nonzero(bits) >= 2 else 0)
-
-
 def _calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[float, float]:
     """Slope and offset of a logistic calibration, by Newton steps with a weak pull to slope 1."""
     a, b = 1.0, 0.0

@@ -70,3 +70,16 @@ def test_lists_alone_decide_without_labels(spark, no_labels):
     docs = spark.createDataFrame([(1, "what a pathetic idiot you are, moron"), (2, "a plain text of words")], "doc_id long, text string")
     scores = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.train(docs, no_labels, F.lit(True))).collect()}
     assert scores[1] > 0.3 > scores[2]
+
+
+def test_posteriors_use_every_vote_on_the_sample(spark, monkeypatch):
+    texts = {1: "What a day, they are idiots!!! and more", 2: "a plain text of words", 3: "THE WHOLE TEXT IS LOUD AND NOTHING ELSE", 4: "you are pathetic", 5: "a calm text"}
+    docs = spark.createDataFrame([*texts.items(), (2, "a plain text of words")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, toxic int")
+    asked = []
+    posterior = toxicity.LabelModel.posterior
+    monkeypatch.setattr(toxicity.LabelModel, "posterior", lambda self, patterns: asked.append(patterns) or posterior(self, patterns))
+    model = toxicity.train(docs, labels, F.lit(True))
+    assert [p.tolist() for p in asked] == [model.voters.votes([t.encode() for t in texts.values()]).tolist()]
+    first = len(toxicity.LISTS)
+    assert [int(p) >> first & 7 for p in asked[0]] == [6, 0, 1, 4, 0]  # bits: shout, bangs, you_are
