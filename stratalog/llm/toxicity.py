@@ -122,43 +122,41 @@ class Voters:
         return Voters(lists)
 
     def votes(self, batch: list[bytes]) -> np.ndarray:
-        """A bit for each voter that fires, for every text."""
+        """A bit for each voter that fires, for every text, taken over the whole text."""
         out = np.zeros(len(batch), np.int64)
         for a, b in pieces(batch):
-            if b - a == 1:
-                for part in spans(batch[a]):
-                    out[a] |= self._votes([part])[0]
-            else:
-                out[a:b] = self._votes(batch[a:b])
+            found = [self._hits([part]) for part in spans(batch[a])] if b - a == 1 else [self._hits(batch[a:b])]
+            out[a:b] = self._votes(batch[a:b], np.unique(np.concatenate(found, axis=1), axis=1))
         return out
 
-    def _votes(self, batch: list[bytes]) -> np.ndarray:
+    def _hits(self, batch: list[bytes]) -> np.ndarray:
+        """The listed buckets that texts have: place of the text in the batch, and bucket."""
         data = b"".join(b" " + t + b" " for t in batch).translate(_FOLD)
         heads = np.cumsum([0, *(len(t) + 2 for t in batch)])[:-1]
         starts, h = feature_hashes(data)
-        bits = self.lists[buckets(h)]
-        hits = np.flatnonzero(bits)
-        owner = np.searchsorted(heads, starts[hits], "right") - 1
+        found = buckets(h)
+        hits = np.flatnonzero(self.lists[found])
+        return np.stack([np.searchsorted(heads, starts[hits], "right") - 1, found[hits]])
+
+    def _votes(self, batch: list[bytes], hits: np.ndarray) -> np.ndarray:
+        """hits: distinct columns of what _hits gives."""
+        owner, found = hits
         out = np.zeros(len(batch), np.uint32)
-        np.bitwise_or.at(out, owner, bits[hits])
+        np.bitwise_or.at(out, owner, self.lists[found])
         first = len(LISTS)
-        distinct = np.unique(np.stack([owner, buckets(h[hits])]), axis=1)[0] if len(hits) else owner
-        several = np.bincount(distinct, minlength=len(batch)) >= 2
         for i, t in enumerate(batch):
-            letters = sum(map(t.count, _LETTERS_UPPER)) if len(t) >= 20 and t[:200].isupper() else 0
-            if letters * 2 > len(t):
+            if len(t) >= 20 and (len(t) - len(t.translate(None, _UPPER))) * 2 > len(t):
                 out[i] |= np.uint32(1 << first)
             if _BANGS.search(t):
                 out[i] |= np.uint32(1 << (first + 1))
-        if len(hits):
-            out[several] |= np.uint32(1 << (first + 3))
-            for i in np.unique(owner):
-                if any(self.lists[buckets(word_hashes(b" " + m[1] + b" ")[1])].any() for m in _YOU_ARE.finditer(batch[i].translate(_FOLD))):
-                    out[i] |= np.uint32(1 << (first + 2))
+        for i in np.unique(owner):
+            if any(self.lists[buckets(word_hashes(b" " + m[1] + b" ")[1])].any() for m in _YOU_ARE.finditer(batch[i].translate(_FOLD))):
+                out[i] |= np.uint32(1 << (first + 2))
+        out[np.bincount(owner, minlength=len(batch)) >= 2] |= np.uint32(1 << (first + 3))
         return out.astype(np.int64)
 
 
-_LETTERS_UPPER = [bytes([c]) for c in range(65, 91)]
+_UPPER = bytes(range(65, 91))
 
 
 @dataclass(frozen=True)

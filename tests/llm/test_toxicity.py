@@ -83,3 +83,15 @@ def test_posteriors_use_every_vote_on_the_sample(spark, monkeypatch):
     assert [p.tolist() for p in asked] == [model.voters.votes([t.encode() for t in texts.values()]).tolist()]
     first = len(toxicity.LISTS)
     assert [int(p) >> first & 7 for p in asked[0]] == [6, 0, 1, 4, 0]  # bits: shout, bangs, you_are
+
+
+def test_votes_are_of_the_whole_text(monkeypatch):
+    v = toxicity.Voters.build([[] for _ in range(toxicity.MINED)])
+    shout, bangs, you_are, stacked = (1 << len(toxicity.LISTS) + k for k in range(4))
+    loud = b"THIS TEXT IS LOUD FROM HERE TO ITS END " * 9
+    assert [int(x) & shout for x in v.votes([b"mr smith said: " + loud, "¿¡漢字".encode() * 40 + loud * 3, b"The Words Begin Alone " * 9, loud])] == [shout, shout, 0, shout]
+    monkeypatch.setattr("stratalog.llm.quality.SPAN", 64)
+    calm = b"some calm words " * 6
+    apart = calm + b"an idiot " + calm + b"so pathetic " + calm
+    votes = v.votes([apart]), v.votes([b"you are " + b"just " * 40 + b"stupid"]), v.votes([b"x" * 63 + b"!!!" + b"x" * 99]), v.votes([b"LOUD " * 30 + b"low " * 5])
+    assert [int(x[0]) & m for x, m in zip(votes, (stacked, you_are, bangs, shout), strict=True)] == [stacked, you_are, bangs, shout]
