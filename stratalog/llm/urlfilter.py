@@ -91,15 +91,15 @@ def score_shapes(strings: DataFrame) -> DataFrame:
 def judge_urls(pages: DataFrame, rules=RULES, seeds=SEEDS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Per page: page_id, host, path, rule, verdict, score (higher: likelier rejected).
 
-    Null urls and such without '://' have an empty host and path and are judged by the empty string's score. If there
-    are no accepted or no rejected URLs to learn from, the method allows. Repeated rows are judged alike; other columns
+    The models read whole URLs: scheme, host, path, query and fragment, or all of a string without '://'. Null urls and
+    such without '://' have an empty host and path; null is judged by the empty string's score. If there are no accepted or no rejected URLs to learn from, the method allows. Repeated rows are judged alike; other columns
     are not read.
     """
     host, path = split_url(F.col(url_col))
-    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    shape = F.regexp_replace(F.lower(F.coalesce(F.col(url_col), F.lit(""))), r"\d+", "0")
+    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), shape.alias("_shape"))
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
-    shape = F.regexp_replace(F.lower(F.concat("host", "path")), r"\d+", "0")
-    rows = rows.withColumn("rule", rule).withColumn("_verdict", verdict).withColumn("_shape", shape)
+    rows = rows.withColumn("rule", rule).withColumn("_verdict", verdict)
     marked = F.arrays_overlap(F.split("host", r"[.\-_\d]+"), F.array(*[F.lit(s) for s in seeds]))
     strings = rows.select("_shape", marked.alias("_marked"), "_verdict").groupBy(F.col("_shape").alias("shape")).agg(
         F.log1p(F.count(F.lit(1)).cast("double")).alias("weight"),

@@ -66,3 +66,13 @@ def test_edges(spark, rows):
 def test_very_long_url(spark):
     out = urlfilter.judge_urls(spark.createDataFrame([(1, "http://x.com/" + "a" * 50_000), (2, "http://casino.com/")], "page_id long, url string"))
     assert out.count() == 2
+
+
+def test_models_read_the_whole_url(spark):
+    good = [f"http://{n}.example.com/news/{i}" for i, n in enumerate(["gardens", "history", "science", "letters"] * 30)]
+    bad = [f"http://{n}{i % 3}.example.com/{i}" for i, n in enumerate(["best-casino", "casino-club", "cheap-pills", "poker-bonus"] * 30)]
+    asked = ["http://go.example.com/out?to=casino-club", "http://go.example.com/out?to=history-news", "http://go.example.com/out#casino-club", "best-casino club", "history news", None]
+    pages = spark.createDataFrame([*enumerate(good + bad), *((1000 + i, u) for i, u in enumerate(asked))], "page_id long, url string")
+    score = {r["page_id"]: r["score"] for r in urlfilter.judge_urls(pages, rules=()).collect()}
+    assert score[1000] > score[1001] < score[1002] and score[1003] > score[1004]
+    assert score[1003] != score[1005] != score[1004]
