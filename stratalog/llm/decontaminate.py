@@ -4,11 +4,14 @@ Texts become tokens (runs of letters, and numbers); numbers, given names and uni
 all five-token windows of the documents are joined with those of the benchmark items. A document leaks an item if it has
 at least 0.8 of the item's windows and if the placeholders stand consistently: along a run of matching windows each value
 of the item is always replaced by the same value of the document. So a question with other numbers is caught, and texts
-that only share a pattern of placeholders are not.
+that only share a pattern of placeholders are not. Items without a window of three words that are no placeholders, and those
+of fewer than five tokens, are looked for by their literal tokens.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ CONTAINMENT = 0.8
 AGREEMENT = 0.8
 #: A window needs so many tokens that are no placeholders.
 LITERAL = 3
+#: An item of fewer than WINDOW tokens and fewer bytes than this says too little: only a document of just its tokens leaks it.
+BRIEF = 12
 TOKEN = r"\d+(?:[.,]\d+)*|[\p{L}\p{M}]+"
 
 #: Number words, units and given names, lower case. Fixed values.
@@ -55,18 +60,18 @@ def canonical(token: Column) -> Column:
     return F.when(F.ascii(token) < 58, "#number").when(token.isin(special), kind).otherwise(token)
 
 
-def windows(rows: DataFrame) -> DataFrame:
-    """rows (with _tokens) with a row for each window: its position _at and its hash _key.
+def windows(rows: DataFrame, size: int = WINDOW, literal: bool = False) -> DataFrame:
+    """rows (with _tokens) with a row for each window: its position _at and its hash _key. literal: of the tokens as they are.
 
     The token hashes are made once for each text; the window hashes are made from them after the positions are dealt out,
     inside generated code.
     """
-    rows = rows.withColumn("_hashes", F.transform("_tokens", lambda t: F.xxhash64(canonical(t))))
+    rows = rows.withColumn("_hashes", F.transform("_tokens", lambda t: F.xxhash64(t if literal else canonical(t))))
     # an empty sequence for texts of fewer tokens: no row
-    last = F.size("_hashes") - WINDOW
+    last = F.size("_hashes") - size
     at = F.explode(F.when(last >= 0, F.sequence(F.lit(0), last)))
     spread = rows.withColumn("_at", at)
-    return spread.withColumn("_key", F.xxhash64(*[F.col("_hashes")[F.col("_at") + k] for k in range(WINDOW)])).drop("_hashes")
+    return spread.withColumn("_key", F.xxhash64(*[F.col("_hashes")[F.col("_at") + k] for k in range(size)])).drop("_hashes")
 
 
 def _is_slot(token: Column) -> Column:
@@ -76,7 +81,8 @@ def _is_slot(token: Column) -> Column:
 def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """item_id, _key, _item_at, _item_window (tokens), _slots (how many are placeholders), n_windows (distinct ones of the item).
 
-    Windows of placeholders alone, or nearly, are left out; items of fewer than five tokens have none and cannot leak.
+    Windows of placeholders alone, or nearly, are left out; literal_windows has the items that have no other, and those of
+    fewer than five tokens.
     """
     rows = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), tokens(F.col(text_col)).alias("_tokens"))
     cut = windows(rows).withColumn("_item_window", F.slice("_tokens", F.col("_at") + 1, WINDOW)).withColumn("_slots", F.size(F.filter("_item_window", _is_slot)))
@@ -85,21 +91,36 @@ def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str
     return checkpoint(cut.distinct().join(sizes, "item_id"))
 
 
+def literal_windows(benchmark: DataFrame, items: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """For each item that has no row in items: item_id, _key (of a window of literal tokens, WINDOW or all that the item has),
+    _size (tokens of the window), _brief, n_windows."""
+    rows = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), tokens(F.col(text_col)).alias("_tokens"))
+    rows = rows.join(items.select("item_id").distinct(), "item_id", "left_anti").withColumn("_size", F.least(F.size("_tokens"), F.lit(WINDOW)))
+    rows = rows.withColumn("_brief", (F.col("_size") < WINDOW) & (F.octet_length(F.array_join("_tokens", "")) < BRIEF))
+    cut = [windows(rows.filter(F.col("_size") == n), n, literal=True).select("item_id", "_key", "_size", "_brief") for n in range(1, WINDOW + 1)]
+    cut = reduce(DataFrame.unionByName, cut).distinct()
+    return checkpoint(cut.join(cut.groupBy("item_id").agg(F.countDistinct("_key").alias("n_windows")), "item_id"))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document and item that it leaks: doc_id, _row (hash of the text), item_id, n_windows, n_hits,
     containment, n_slots, slot_agreement, reparameterised.
 
-    Null and short texts leak nothing. Null and repeated ids are told apart by their texts; equal rows count as one.
+    Null texts leak nothing. Items without usable windows have no placeholders: n_slots is 0. Null and repeated ids are told apart by their texts; equal rows count as one.
     """
     items = item_windows(benchmark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("_row"), tokens(F.col(text_col)).alias("_tokens"))
     hits = windows(rows).join(broadcast_if_small(items, items.count()), "_key")
-    hits = checkpoint(
-        hits.select(
-            "doc_id", "_row", "item_id", "n_windows", "_key", "_item_at", "_at", "_slots", F.when(F.col("_slots") > 0, F.col("_item_window")).alias("_item_window"),
-            F.when(F.col("_slots") > 0, F.slice("_tokens", F.col("_at") + 1, WINDOW)).alias("_window"),
-        )
+    hits = hits.select(
+        "doc_id", "_row", "item_id", "n_windows", "_key", "_item_at", "_at", "_slots", F.when(F.col("_slots") > 0, F.col("_item_window")).alias("_item_window"),
+        F.when(F.col("_slots") > 0, F.slice("_tokens", F.col("_at") + 1, WINDOW)).alias("_window"),
     )
+    literal = literal_windows(benchmark, items)
+    for r in literal.groupBy("_size").agg(F.count(F.lit(1)).alias("n")).collect():  # WINDOW rows at most
+        own = literal.filter(F.col("_size") == r["_size"])
+        same = windows(rows, r["_size"], literal=True).join(broadcast_if_small(own, r["n"]), "_key").filter(~F.col("_brief") | (F.size("_tokens") == r["_size"]))
+        hits = hits.unionByName(same.select("doc_id", "_row", "item_id", "n_windows", "_key", F.lit(0).alias("_item_at"), "_at", F.lit(0).alias("_slots")), allowMissingColumns=True)
+    hits = checkpoint(hits)
     pair = ["doc_id", "_row", "item_id"]
     found = hits.groupBy(*pair, "n_windows", "_key").agg(F.count(F.lit(1)).alias("_n")).groupBy(*pair, "n_windows").agg(F.count(F.lit(1)).alias("n_hits"))
     found = found.withColumn("containment", F.col("n_hits") / F.col("n_windows")).filter(F.col("containment") >= CONTAINMENT)

@@ -83,3 +83,19 @@ def test_edges(spark, edge_docs, no_docs):
     nameless = spark.createDataFrame([(None, ITEM), (None, "other"), (7, ITEM), (7, ITEM)], "doc_id long, text string")
     assert decontaminate.find_leaks(nameless, bench).count() == 2
     assert [r["text"] for r in decontaminate.drop_leaks(nameless, bench).collect()] == ["other"]
+
+
+LITERAL_CASES = [
+    (1, "What is 12 + 7 * 3?", "Before. What is 12 + 7 * 3? After.", "What is 12 + 7 * 4? After."),
+    (2, "12 7 3 5 9 11 dollars euros 8", "x 12 7 3 5 9 11 dollars euros 8 y", "12 7 3 5 9 dollars euros 8"),
+    (3, "水的沸点是多少度", "题目 水的沸点是多少度 答案", "水的沸点"),
+    (4, "capital of Mauritania", "The Capital of Mauritania, so", "capital and Mauritania"),
+    (5, "yes", "Yes!", "well, yes"),
+]
+
+
+def test_items_without_usable_windows(spark):
+    bench = spark.createDataFrame([*((i, text) for i, text, _, _ in LITERAL_CASES), (6, ""), (7, ITEM)], "item_id long, text string")
+    docs = spark.createDataFrame([(10 * i + k, text) for i, _, *texts in LITERAL_CASES for k, text in enumerate(texts)] + [(0, ""), (1, None)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["n_slots"], r["reparameterised"]) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert got == {(10 * i, i, 0, False) for i, *_ in LITERAL_CASES}
