@@ -25,7 +25,7 @@ BITS = 16
 SHAPES = 24
 DIM = 12
 #: Most labelled rows of each class that the model is fitted on (the documented bound), chosen by a hash of their ids.
-SAMPLE = 2000
+SAMPLE = 2500
 #: Gradient steps, one text each, whatever the size of the sample.
 STEPS = 24_000
 RATE = 0.4
@@ -103,14 +103,15 @@ def shape_tokens(text: bytes) -> list[int]:
 
 
 def sparse(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and counts (65535 at most) of a whole text's features, without its shape tokens; two bytes each, as the
-    sample is held by the driver."""
+    """Buckets and counts of a whole text's features, without its shape tokens; two bytes each, as the sample is held by the
+    driver, but four for the counts of a text with one that needs them."""
     total = np.zeros(1 << BITS, np.int64)
     for part in spans(text):
         for _, b in byte_features(b" " + part + b" "):
             total += np.bincount(b, minlength=1 << BITS)
     ids = np.flatnonzero(total)
-    return ids.astype(np.uint16), np.minimum(total[ids], 65535).astype(np.uint16)
+    counts = total[ids]
+    return ids.astype(np.uint16), counts.astype(np.uint32 if counts.max(initial=0) > 65535 else np.uint16)
 
 
 @dataclass(frozen=True)
@@ -162,7 +163,7 @@ def fit(rows: list[tuple[bytes, bytes, list[int], int]], weights: tuple[float, f
     order = np.concatenate([rng.permutation(len(rows)) for _ in range(-(-STEPS // len(rows)))])[:STEPS]
     for step, k in enumerate(order):
         packed, counts, shapes, y = rows[k]
-        n = np.frombuffer(counts, np.uint16).astype(np.float32)
+        n = np.frombuffer(counts, np.uint16 if len(counts) == len(packed) else np.uint32).astype(np.float32)
         ids = np.r_[np.frombuffer(packed, np.uint16).astype(np.int64), np.array(shapes, np.int64)]
         share = np.r_[n / max(float(n.sum()), 1.0), np.ones(len(shapes), np.float32)].astype(np.float32)
         hidden = share @ table[ids]

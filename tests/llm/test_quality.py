@@ -60,3 +60,17 @@ def test_edges(edge_docs, no_docs, some_labels, no_labels):
         assert len(out) == 12 and all(0 <= r["score"] <= 1 for r in out)
         assert quality.keep_good(edge_docs, model).columns == edge_docs.columns
     assert quality.score(no_docs, quality.train(no_docs, no_labels, learn)).count() == 0
+
+
+def test_training_and_scoring_count_alike():
+    text = b"aaaa " * 70_000 + b"bb cc " * 9
+    ids, counts = quality.sparse(text)
+    assert counts.max() >= 70_000
+    rows = [(ids.tobytes(), counts.tobytes(), quality.shape_tokens(text), 1), *[(*(x.tobytes() for x in quality.sparse(b"dd ee ff")), quality.shape_tokens(b"dd ee ff"), 0)] * 2]
+    model = quality.fit(rows, (1.0, 1.0))
+    z = (model.weights[ids] * (counts / counts.sum())).sum() + model.weights[quality.shape_tokens(text)].sum() + model.bias
+    assert abs(model.scores([text])[0] - 1 / (1 + np.exp(-z))) < 1e-6
+
+
+def test_sample_is_as_large_as_documented():
+    assert quality.SAMPLE == 2500
