@@ -13,6 +13,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Largest number of rows that is ever broadcast; a table beyond it is joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Largest size of the texts in such a table.
+BROADCAST_BYTES = 32 << 20
+#: Most files of a checkpoint for each core of the cluster.
+FILES_PER_CORE = 4
 
 
 def text_or_empty(text: Column) -> Column:
@@ -36,26 +40,52 @@ def let(value: Column, body) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; one of our own only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder that the session names in spark.checkpoint.dir. Where none is set, one of our own, but only in local
+    mode: on a cluster executors do not share the driver's folders, and that is an error."""
+    named, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if named:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(named)
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(named)
         return named
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stratalog-checkpoint-"))
-    return spark.sparkContext.getCheckpointDir()
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="stratalog-checkpoint-"))
+    return context.getCheckpointDir()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and goes on from those files: lineage ends, lost executors cost nothing."""
+    """Writes df to the shared checkpoint folder and goes on from those files: lineage ends, lost executors cost nothing.
+
+    At most FILES_PER_CORE files a core, however many shuffle partitions there are: every file costs a creation, and on
+    some file systems a helper process.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism).checkpoint(eager=True)
+
+
+def counted(df: DataFrame, *columns: str) -> tuple[int, int]:
+    """Rows of df and about how many bytes its columns of variable length hold (columns: their names)."""
+    size = sum((F.octet_length(F.coalesce(F.col(c).cast("string"), F.lit(""))).cast("long") for c in columns), F.lit(0).cast("long"))
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
+    return row["n"], row["b"]
+
+
+def broadcast_if_small(df: DataFrame, rows: int, size: int = 0) -> DataFrame:
+    """A broadcast hint for a table whose counted rows, and counted bytes of variable length, are few; otherwise the join
+    stays a shuffle that AQE may split."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """A broadcast hint for a table whose counted rows are few; otherwise the join stays a shuffle that AQE may split."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """names, each with underscores in front until no column of taken is called so, whatever the case of its letters."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def held_out_remainder(doc_id: Column, modulus: int) -> Column:

@@ -5,13 +5,14 @@ a table for every non-zero vector v keeps the positions whose vector has odd par
 differing positions span less than the whole space, so some v is orthogonal to all of them, and its table keeps none of
 the differing bits: every pair within the radius meets in at least one of the 31 tables.
 
-Only distinct fingerprints go into the tables, so copies cost nothing there. Inside a bucket links are found as a
-spanning forest, never as all pairs.
+Only distinct fingerprints go into the tables, so copies cost nothing there. Crowded buckets are dealt out by further
+families of masks before any task sees them. Inside a bucket links are found as a spanning forest, never as all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import slices, texts
-from .common import checkpoint
+from .common import broadcast_if_small, checkpoint, fresh
 from .components import connected_components
 
 SHINGLE = 4
@@ -28,8 +29,9 @@ RADIUS = 4
 SEED = 42
 #: Shingle hashes whose bits are counted at once.
 BLOCK = 1 << 14
-#: Buckets above this many fingerprints are searched through a second family of masks.
+#: Buckets above this many fingerprints are searched through a further family of masks, LEVELS families at most.
 DENSE = 2048
+LEVELS = 3
 
 _FOLD = bytes(32 if c in (9, 10, 11, 12, 13) else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -101,43 +103,19 @@ def _forest(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarr
                 left = left[~near]
 
 
-def link_bucket(fps: np.ndarray, mask: int, radius: int = RADIUS, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect all fingerprints of a bucket that are linked within it. All agree on the mask's bits.
-
-    A crowded bucket goes through a second covering family on the bits that the mask leaves open; exact, as the first.
-    """
-    if len(fps) <= DENSE or depth == 2:
-        yield from _forest(fps, radius)
-        return
-    free = np.array([i for i in range(64) if not (mask >> i) & 1])
-    for sub in covering_masks(radius, free, depth + 1):
-        keys = fps & sub
-        order = np.argsort(keys, kind="stable")
-        keys, ordered = keys[order], fps[order]
-        cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if b - a > 1:
-                yield from link_bucket(ordered[a:b], mask | int(sub), radius, depth + 1)
-
-
 def _link(radius: int):
-    masks = covering_masks(radius)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by table and key; a bucket that goes on in the next batch is kept until it ends."""
-        held_t, held = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
         for batch in _and_end(batches):
-            if batch is None:
-                t, fp, last = held_t, held, True
-            else:
-                t = np.r_[held_t, batch.column("t").to_numpy().astype(np.int64)]
-                fp = np.r_[held, batch.column("fp").to_numpy().view(np.uint64)]
-                last = False
+            if batch is not None:
+                new = [batch.column(c).to_numpy() for c in ("t", "key", "fp")]
+                held = [np.r_[held[0], new[0].astype(np.int64)], np.r_[held[1], new[1]], np.r_[held[2], new[2].view(np.uint64)]]
+            t, key, fp = held
             if not len(t):
                 continue
-            key = fp & masks[t]
             cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (t[1:] != t[:-1])])
-            end = len(t) if last else cuts[-1]
+            end = len(t) if batch is None else cuts[-1]
             lengths = np.diff(np.r_[cuts, len(t)])
             us, vs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
             starts = cuts[(lengths == 2) & (cuts < end)]
@@ -147,10 +125,10 @@ def _link(radius: int):
                 us.append(a[near])
                 vs.append(b[near])
             for s, n in zip(cuts[(lengths > 2) & (cuts < end)], lengths[(lengths > 2) & (cuts < end)], strict=True):
-                for a, b in link_bucket(fp[s : s + n], int(masks[t[s]]), radius):
+                for a, b in _forest(fp[s : s + n], radius):
                     us.append(a)
                     vs.append(b)
-            held_t, held = t[end:], fp[end:]
+            held = [x[end:] for x in held]
             u, v = np.concatenate(us).view(np.int64), np.concatenate(vs).view(np.int64)
             if len(u):
                 pairs = np.unique(np.stack([u, v]), axis=1)
@@ -164,13 +142,48 @@ def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
     yield None
 
 
-def link_fingerprints(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """u, v: links that connect what is linked; distinct has one row for each fingerprint fp."""
-    masks = covering_masks(radius).view(np.int64).tolist()
-    tables = F.explode(F.array(*[F.struct(F.lit(i).cast("tinyint").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)]))
+def mask_family(radius: int, level: int) -> list[tuple[int, int, int]]:
+    """(node, table, mask) of a level: of the only node 0 first, then of every table of the level before. A mask holds the
+    bits of its node's mask and those of a covering family over the bits that the node leaves open."""
+    nodes = {0: 0} if level == 0 else {t: mask for _, t, mask in mask_family(radius, level - 1)}
+    out = []
+    for node, mask in nodes.items():
+        free = np.array([i for i in range(64) if not (mask >> i) & 1])
+        out += [(node, node * ((2 << radius) - 1) + i, mask | int(m)) for i, m in enumerate(covering_masks(radius, free, level))]
+    return out
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> DataFrame:
+    """u, v: links that connect what is linked; distinct has one row for each fingerprint fp.
+
+    Buckets are counted before their rows move. Those of more than dense fingerprints are not sent to a task: their rows are
+    dealt out by a second covering family on the bits that their mask leaves open, and, where these are crowded too, by a
+    third, whose buckets have few open bits left and so few fingerprints. Every level is exact, as the first.
+    """
+    spark = distinct.sparkSession
+    tables = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for _, t, m in mask_family(radius, 0)]))
     rows = distinct.select("fp", tables.alias("x")).select("x.t", "x.key", "fp")
-    rows = rows.repartition("t", "key").sortWithinPartitions("t", "key")
-    return rows.mapInArrow(_link(radius), "u long, v long")
+    out = []
+    for level in range(LEVELS):
+        crowded, n = None, 0
+        if level + 1 < LEVELS:
+            crowded = checkpoint(rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > dense).select("t", "key"))
+            n = crowded.count()
+        few = rows if not n else rows.join(broadcast_if_small(crowded, n), ["t", "key"], "left_anti")
+        few = few.repartition("t", "key").sortWithinPartitions("t", "key")
+        out.append(few.mapInArrow(_link(radius), "u long, v long"))
+        if not n:
+            break
+        # at most 31 ** 3 rows: a proven bound
+        family = spark.createDataFrame([(node, t, _signed(m)) for node, t, m in mask_family(radius, level + 1)], "node int, next int, mask long")
+        many = rows.join(broadcast_if_small(crowded, n), ["t", "key"], "left_semi")
+        many = many.join(F.broadcast(family), F.col("t") == F.col("node"))
+        rows = checkpoint(many.select(F.col("next").alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp").distinct())
+    return reduce(DataFrame.unionByName, out)
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,15 +211,29 @@ def fingerprint_hex(fp: str) -> Column:
 
 
 def keep_one_of_each_group(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all their columns, without the near-duplicates: of each group one row stays, that with the smallest id."""
-    found = near_duplicates(docs, radius, id_col, text_col)
-    # a group of equal ids, or of null ids alone, keeps one row too
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min_by("doc_id", "_row").alias("doc_id"), F.min("_row").alias("_row"))
-    keys = first.select(_id_key("doc_id").alias("_id"), "_row")
-    rows = docs.withColumns({"_id": _id_key(id_col), "_row": F.xxhash64(F.col(text_col))})
-    kept = rows.join(keys, ["_id", "_row"], "left_semi")
-    return kept.groupBy("_id", "_row").agg(F.first(F.struct(*docs.columns)).alias("_doc")).select("_doc.*")
+    """docs, all their columns, without the near-duplicates: of each group one row stays, that with the smallest id.
 
-
-def _id_key(id_col: str) -> Column:
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    Of rows of one id the one whose text has the smallest hash stays, of rows of one id and text any one. Null texts are empty
+    ones without words; a group of null ids alone keeps one row. An empty table stays empty. Columns of any name pass.
+    Only ids and hashes are shuffled; texts are only where the rows that go, or the repeated ones, are too many to broadcast.
+    """
+    found = near_duplicates(docs, radius, id_col, text_col)
+    texts_of = checkpoint(found.groupBy("root", "doc_id", "_row").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("component_id")))
+    named = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    first = checkpoint(texts_of.filter(named).groupBy("root").agg(F.min("_row").alias("_first")))
+    stays = named & (F.col("_row") == F.col("_first"))
+    marked = checkpoint(texts_of.join(first, "root").select("doc_id", "_row", "n", stays.alias("stays")).filter("not stays or n > 1"))
+    counts = {r["stays"]: r["n"] for r in marked.groupBy("stays").agg(F.count(F.lit(1)).alias("n")).collect()}
+    a, b, row, doc = fresh(docs.columns, "_a", "_b", "_row", "_doc")
+
+    def these(stays: bool) -> DataFrame:
+        part = marked.filter(F.col("stays") == F.lit(stays)).select(F.col("doc_id").alias(a), F.col("_row").alias(b))
+        return broadcast_if_small(part, counts[stays])
+
+    rows = docs.withColumn(row, F.xxhash64(F.col(text_col)))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(a)) & (F.col(row) == F.col(b))
+    out = rows.join(these(False), same, "left_anti") if False in counts else rows
+    if True not in counts:
+        return out.select(*docs.columns)
+    repeated = out.join(these(True), same, "left_semi").groupBy(F.col(id_col), F.col(row)).agg(F.first(F.struct(*[F.col(c) for c in docs.columns])).alias(doc))
+    return out.join(these(True), same, "left_anti").select(*docs.columns).unionByName(repeated.select(f"{doc}.*"))

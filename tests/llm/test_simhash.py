@@ -75,28 +75,37 @@ def crowd(seed: int, n: int, flips: int) -> np.ndarray:
     return np.array(sorted(out), dtype=np.uint64)
 
 
-@pytest.mark.parametrize("flips", [3, 9])
-def test_links_of_crowded_buckets(spark, monkeypatch, flips):
+@pytest.mark.parametrize(("flips", "dense"), [(3, 2048), (3, 8), (9, 8)])
+def test_links_of_crowded_buckets(spark, flips, dense):
+    """All that is linked is connected, whether or not buckets are dealt out by further masks."""
     fps = crowd(1, 400, flips)
     want = groups(list(range(len(fps))), [int(x) for x in fps])
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    roots = {r["node"]: r["root"] for r in components.connected_components(simhash.link_fingerprints(df)).collect()}
-    place = {int(x): i for i, x in enumerate(fps.view(np.int64))}
-    named = [min(i for i, y in enumerate(fps.view(np.int64)) if roots.get(int(y), int(y)) == roots.get(int(x), int(x))) for x in fps.view(np.int64)]
-    assert named == want and len(place) == len(fps)
-    monkeypatch.setattr(simhash, "DENSE", 8)
-    edges = [(int(a), int(b)) for us, vs in simhash.link_bucket(fps, 0) for a, b in zip(us, vs, strict=True)]
-    assert all(bin(a ^ b).count("1") <= 4 for a, b in edges)
-    parent = {int(x): int(x) for x in fps}
+    links = simhash.link_fingerprints(df, dense=dense)
+    assert all(bin((r["u"] ^ r["v"]) % 2**64).count("1") <= 4 for r in links.collect())
+    roots = {r["node"]: r["root"] for r in components.connected_components(links).collect()}
+    least = {}
+    for i, x in enumerate(fps.view(np.int64)):
+        least.setdefault(roots.get(int(x), int(x)), i)
+    assert [least[roots.get(int(x), int(x))] for x in fps.view(np.int64)] == want
+
+
+def test_buckets_of_the_last_family_are_small():
+    """A bucket that is not split further holds at most 2 ** 14 fingerprints: its masks leave so few bits open."""
+    assert max(64 - bin(m).count("1") for _, _, m in simhash.mask_family(4, simhash.LEVELS - 1)) <= 14
+
+
+def test_columns_of_the_same_names_pass(spark):
+    rows = [(1, "one text of some words", 7, 8, 9, "x"), (1, "one text of some words", 7, 8, 9, "x"), (2, "one text of some words", 1, 2, 3, "y"), (3, "quite another text, of other words", 4, 5, 6, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id long, _row long, _a long, _doc string")
+    assert sorted(map(tuple, simhash.keep_one_of_each_group(docs).collect())) == [rows[0], rows[3]]
 
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    for a, b in edges:
-        parent[find(a)] = find(b)
-    assert len({find(int(x)) for x in fps}) == len(set(want))
+def test_texts_stay_where_they_are(spark):
+    """Few rows go: they are broadcast, and the texts of the others are not shuffled."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = simhash.keep_one_of_each_group(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
 @settings(max_examples=5, deadline=None)
