@@ -74,3 +74,24 @@ def test_resampled_rows_follow_the_mix(spark):
     mixed = {r["doc_id"]: round(r["taken"] / r["size"]) if r["size"] else 0 for r in mix_documents(docs).collect()}
     copies = {r["doc_id"]: r["count"] for r in resample_documents(docs).groupBy("doc_id").count().collect()}
     assert copies == {k: v for k, v in mixed.items() if v}
+
+
+def test_repeats_that_hold_a_third(spark):
+    """Equal rows share a key; a budget that ends among them takes some of them whole."""
+    rows = [(1, "w w w", "a")] * 4000 + [(10 + i, "w " * (i % 9 + 1), "a") for i in range(3000)] + [(20_000 + i, "w w", "b") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mix_documents(docs).collect()
+    taken = {s: sum(r["taken"] for r in got if r["source_size"] == n) for s, n in (("a", 12000 + sum(i % 9 + 1 for i in range(3000))), ("b", 8000))}
+    want = targets({"a": 12000 + sum(i % 9 + 1 for i in range(3000)), "b": 8000})
+    assert len(got) == len(rows) and all(abs(taken[s] - want[s]) <= 1 for s in want)
+    words = {s: sum(len(r["text"].split()) for r in resample_documents(docs).filter(f"source = '{s}'").collect()) for s in want}
+    assert all(abs(words[s] - want[s]) <= 9 for s in want)
+
+
+def test_columns_of_the_same_names_pass(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    names = "_copies", "_copy", "_rest", "_epochs", "target", "source_size", "_key", "_size", "_sum", "_plan_rest", "_mix_key"
+    clash = docs.selectExpr("*", *(f"{i} {c}" for i, c in enumerate(names)))
+    out = resample_documents(clash)
+    assert out.columns == clash.columns and all(r[c] == i for r in out.collect() for i, c in enumerate(names))
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(r["doc_id"] for r in resample_documents(docs).collect())
