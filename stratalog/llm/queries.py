@@ -106,26 +106,33 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(epochs *
 
 _SLOT = " ".join(f"WHEN t IN ({', '.join(repr(w) for w in words)}) THEN '{name}'" for name, words in decontaminate.SLOTS.items())
 _CANON = f"CASE WHEN ascii(t) < 58 THEN '#number' {_SLOT} ELSE t END"
+_NAMED = "ascii(t) BETWEEN 65 AND 90 AND NOT ascii(substr(t, 2, 1)) BETWEEN 65 AND 90"
 
 _LEAKS = f"""
-WITH RECURSIVE d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
-dt AS (SELECT doc_id, text, regexp_extract_all(lower(text), '\\d+(?:[.,]\\d+)*|[\\p{{L}}\\p{{M}}]+') AS said FROM d),
-dk AS (SELECT doc_id, md5(text) AS row, said, list_transform(said, lambda t: {_CANON}) AS kinds FROM dt),
-it AS (SELECT DISTINCT item_id, text, regexp_extract_all(lower(text), '\\d+(?:[.,]\\d+)*|[\\p{{L}}\\p{{M}}]+') AS said FROM benchmark WHERE item_id IS NOT NULL),
-ik AS (SELECT item_id, said, list_transform(said, lambda t: {_CANON}) AS kinds FROM it),
-iw AS (SELECT item_id, said, i, array_to_string(kinds[i:i + 4], ' ') AS w, len(list_filter(kinds[i:i + 4], lambda t: starts_with(t, '#'))) AS slots FROM ik, unnest(range(1, len(kinds) - 3)) u(i)),
-iv AS (SELECT * FROM iw WHERE 5 - slots >= 3),
-sizes AS (SELECT item_id, count(DISTINCT w) AS n_windows FROM iv GROUP BY 1),
-dw AS (SELECT doc_id, row, said, i, array_to_string(kinds[i:i + 4], ' ') AS w FROM dk, unnest(range(1, len(kinds) - 3)) u(i)),
-hits AS (SELECT dw.doc_id, dw.row, iv.item_id, dw.w, iv.slots, dw.i AS di, iv.i AS ii, dw.said AS ds, iv.said AS s FROM dw JOIN iv USING (w)),
-found AS (SELECT doc_id, row, item_id, count(DISTINCT w) AS n_hits FROM hits GROUP BY ALL),
-cells AS (SELECT DISTINCT doc_id, row, item_id, di - ii AS shift, ii + k AS place, s[ii + k] AS a, ds[di + k] AS b FROM hits, unnest(range(0, 5)) u(k) WHERE slots > 0),
-slots AS (SELECT doc_id, row, item_id, shift, a, b, count(*) AS n FROM (SELECT *, a AS t FROM cells) WHERE starts_with({_CANON}, '#') GROUP BY ALL),
-kept AS (SELECT doc_id, row, item_id, shift, a, sum(n) AS every, max(n) AS same, bool_or(a <> b) AS other FROM slots GROUP BY ALL),
-agreed AS (SELECT doc_id, row, item_id, CAST(sum(every) AS BIGINT) AS n_slots, sum(same)::DOUBLE / sum(every)::DOUBLE AS agreement, bool_or(other) AS other FROM kept GROUP BY ALL)
+WITH texts AS (SELECT DISTINCT 'd' AS side, doc_id AS id, text FROM documents WHERE text IS NOT NULL
+    UNION ALL SELECT DISTINCT 'i', item_id, text FROM benchmark WHERE item_id IS NOT NULL),
+split AS (SELECT side, id, md5(text) AS row, regexp_extract_all(text, '\\d+(?:[.,]\\d+)*|[\\p{{L}}\\p{{M}}]+') AS raw FROM texts),
+low AS (SELECT *, list_transform(raw, lambda t: lower(t)) AS said FROM split),
+plain AS (SELECT *, list_transform(said, lambda t: {_CANON}) AS kinds FROM low),
+formed AS (SELECT *, list_transform(raw, lambda t, i: CASE WHEN {_NAMED} THEN '#name' ELSE kinds[i] END) AS names FROM plain),
+iread AS (SELECT id, said, kinds, false AS formed FROM formed WHERE side = 'i' UNION ALL SELECT id, said, names, true FROM formed WHERE side = 'i'),
+iv AS (SELECT * FROM (SELECT id, said, formed, kinds, i, array_to_string(kinds[i:i + 4], ' ') AS w, len(list_filter(kinds[i:i + 4], lambda t: starts_with(t, '#'))) AS slots
+    FROM iread, unnest(range(1, len(kinds) - 3)) u(i)) WHERE 5 - slots >= 3),
+sizes AS (SELECT id AS item_id, formed, count(DISTINCT w) AS n_windows FROM iv GROUP BY ALL),
+spread AS (SELECT id, row, kinds, names, unnest(range(1, len(kinds) - 3)) AS i FROM formed WHERE side = 'd'),
+dw AS (SELECT DISTINCT id, row, i, w FROM (SELECT id, row, i, array_to_string(kinds[i:i + 4], ' ') AS w FROM spread UNION ALL SELECT id, row, i, array_to_string(names[i:i + 4], ' ') FROM spread)
+    WHERE w IN (SELECT w FROM iv)),
+hits AS (SELECT dw.id AS doc_id, dw.row, iv.id AS item_id, iv.formed, w, iv.slots, dw.i AS di, iv.i AS ii, l.said AS ds, iv.said AS s, iv.kinds
+    FROM dw JOIN iv USING (w) JOIN (SELECT * FROM low WHERE side = 'd') l ON dw.id IS NOT DISTINCT FROM l.id AND dw.row = l.row),
+found AS (SELECT doc_id, row, item_id, formed, count(DISTINCT w) AS n_hits FROM hits GROUP BY ALL),
+slots AS (SELECT doc_id, row, item_id, formed, shift, a, b, count(*) AS n FROM (SELECT DISTINCT doc_id, row, item_id, formed, di - ii AS shift, ii + k AS place, s[ii + k] AS a, ds[di + k] AS b
+    FROM hits, unnest(range(0, 5)) u(k) WHERE slots > 0 AND starts_with(kinds[ii + k], '#')) GROUP BY ALL),
+kept AS (SELECT doc_id, row, item_id, formed, shift, a, sum(n) AS every, max(n) AS same, bool_or(a <> b) AS other FROM slots GROUP BY ALL),
+agreed AS (SELECT doc_id, row, item_id, formed, CAST(sum(every) AS BIGINT) AS n_slots, sum(same)::DOUBLE / sum(every)::DOUBLE AS agreement, bool_or(other) AS other FROM kept GROUP BY ALL)
 SELECT f.doc_id, f.item_id, n_windows, n_hits, n_hits / n_windows AS containment, coalesce(n_slots, 0) AS n_slots, coalesce(agreement, 1.0::DOUBLE) AS slot_agreement, coalesce(other, false) AS reparameterised
-FROM found f JOIN sizes USING (item_id) LEFT JOIN agreed g ON f.doc_id IS NOT DISTINCT FROM g.doc_id AND f.row = g.row AND f.item_id = g.item_id
+FROM found f JOIN sizes USING (item_id, formed) LEFT JOIN agreed g ON f.doc_id IS NOT DISTINCT FROM g.doc_id AND f.row = g.row AND f.item_id = g.item_id AND f.formed = g.formed
 WHERE n_hits / n_windows >= {decontaminate.CONTAINMENT} AND coalesce(agreement, 1) >= {decontaminate.AGREEMENT}
+QUALIFY row_number() OVER (PARTITION BY f.doc_id, f.row, f.item_id ORDER BY n_hits / n_windows DESC, f.formed) = 1
 """
 
 

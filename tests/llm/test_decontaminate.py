@@ -10,29 +10,32 @@ SF = "/root/testdata/sf0.001"
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+")
 
 
-def plain(text: str | None) -> list[tuple[str, str]]:
+def reading(text: str | None, formed: bool) -> list[str]:
     out = []
-    for t in TOKEN.findall((text or "").lower()):
-        kind = t
+    for raw in TOKEN.findall(text or ""):
+        t = kind = raw.lower()
         for name, words in decontaminate.SLOTS.items():
             if t in words:
                 kind = name
-        out.append((t, "#number" if t[0].isdigit() else kind))
+        name = formed and "A" <= raw[0] <= "Z" and not "A" <= raw[1:2] <= "Z"
+        out.append("#name" if name else "#number" if t[0].isdigit() else kind)
     return out
 
 
+def cut(kinds: list[str]) -> set:
+    return {tuple(kinds[i : i + 5]) for i in range(len(kinds) - 4)}
+
+
 def brute(docs: list, items: list) -> set:
-    """Documents with 0.8 of an item's windows; slots agree by construction of the cases that use it."""
+    """Documents with 0.8 of an item's windows in one reading; slots agree by construction of the cases that use it."""
     found = set()
     for item, text in items:
-        kinds = [k for _, k in plain(text)]
-        want = {tuple(kinds[i : i + 5]) for i in range(len(kinds) - 4)}
-        want = {w for w in want if sum(x.startswith("#") for x in w) <= 2}
-        for doc, other in docs:
-            has = [k for _, k in plain(other)]
-            got = want & {tuple(has[i : i + 5]) for i in range(len(has) - 4)}
-            if want and len(got) >= 0.8 * len(want):
-                found.add((doc, item))
+        for formed in (False, True):
+            want = {w for w in cut(reading(text, formed)) if sum(x.startswith("#") for x in w) <= 2}
+            for doc, other in docs:
+                got = want & (cut(reading(other, False)) | cut(reading(other, True)))
+                if want and len(got) >= 0.8 * len(want):
+                    found.add((doc, item))
     return found
 
 
@@ -99,3 +102,32 @@ def test_items_without_usable_windows(spark):
     docs = spark.createDataFrame([(10 * i + k, text) for i, _, *texts in LITERAL_CASES for k, text in enumerate(texts)] + [(0, ""), (1, None)], "doc_id long, text string")
     got = {(r["doc_id"], r["item_id"], r["n_slots"], r["reparameterised"]) for r in decontaminate.find_leaks(docs, bench).collect()}
     assert got == {(10 * i, i, 0, False) for i, *_ in LITERAL_CASES}
+
+
+SHOP = "{a} has 12 apples and gives {b} 5 of them before they walk home, so how many apples does {a} still have to sell at the shop?"
+
+
+@pytest.mark.parametrize(("a", "b"), [("Alice", "Bob"), ("Priya", "Ravi"), ("Chen", "Wei"), ("Zofia", "Jürgen")])
+def test_names_that_no_list_has(spark, a, b):
+    bench = spark.createDataFrame([(1, SHOP.format(a="Priya", b="Ravi"))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "Some words. " + SHOP.format(a=a, b=b).replace("12", "30").replace(" 5 ", " 9 ")), (2, SHOP.format(a=a, b=a))], "doc_id long, text string")
+    got = {r["doc_id"]: r["reparameterised"] for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert got[1] is True
+
+
+def test_a_very_long_text_and_a_common_window(spark):
+    """Windows that many items and documents share do not hide a leak deep inside a long text, nor make one."""
+
+    def item(i: int) -> str:
+        own = "".join(chr(97 + int(c)) for c in str(i))
+        return f"what is the value of thing{own} when word{own} meets other{own} in the place{own} at noon{own} today"
+
+    bench = spark.createDataFrame([(i, item(i)) for i in range(200)], "item_id long, text string")
+    long_text = "filler words and more of it " * 60_000 + item(7) + " what is the value of it" * 500
+    docs = spark.createDataFrame([(1, long_text), *((10 + i, f"so what is the value of it {i} when what is the value of you") for i in range(300))], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()] == [(1, 7)]
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, f"Before. {ITEM}", 5, 6), (2, "clean words only", 7, 8)], "doc_id long, text string, _lost_id long, _lost_row long")
+    assert [tuple(r) for r in decontaminate.drop_leaks(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string")).collect()] == [(2, "clean words only", 7, 8)]
