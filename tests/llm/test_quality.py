@@ -39,10 +39,46 @@ def test_features_of_a_text_do_not_depend_on_its_pieces(monkeypatch):
     ids, counts = quality.sparse(text)
     z = (model.weights[ids] * counts).sum() / counts.sum() + model.weights[quality.shape_tokens(text)].sum() + model.bias
     assert np.isclose(whole[0], 1 / (1 + np.exp(-z)))
-    # cut at white space, only pairs over a cut are lost
-    monkeypatch.setattr(quality, "SPAN", 200)
-    cut_ids, cut_counts = quality.sparse(text)
-    assert counts.sum() - cut_counts.sum() == len(list(quality.spans(text))) - 1
+    # parts of any size lose nothing, with blanks or without
+    for other in (text, text.replace(b" ", b"").replace(b"\n", b""), b" \n ab" * 9):
+        ids, counts = quality.sparse(other)
+        score = model.scores([other])[0]
+        for span in (1, 2, 3, 50, 200):
+            monkeypatch.setattr(quality, "SPAN", span)
+            cut_ids, cut_counts = quality.sparse(other)
+            assert np.array_equal(ids, cut_ids) and np.array_equal(counts, cut_counts) and np.isclose(model.scores([other])[0], score)
+        monkeypatch.undo()
+
+
+def test_scores_are_the_brute_force(spark):
+    """Every score from the model's weights, feature by feature in plain Python."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = quality.train(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"), F.lit(True))
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+
+    def bucket(x: int, salt: int) -> int:
+        z = (x ^ salt) * int(quality._K) % (1 << 64)
+        return (z ^ z >> 31) * int(quality._K) % (1 << 64) >> 64 - quality.BITS
+
+    def word(w: bytes) -> int:
+        return sum((c + 1) * pow(quality._BASE, i, 1 << 64) for i, c in enumerate(w)) % (1 << 64)
+
+    for r in docs.collect():
+        data = bytes(32 if 9 <= c <= 13 else c for c in b" " + (r["text"] or "").encode() + b" ")
+        words = [word(w) for w in data.split(b" ") if w]
+        found = [bucket(w, 1) for w in words] + [bucket(a ^ b, 2) for a, b in zip(words, words[1:], strict=False)]
+        for n in (3, 4):
+            runs = (data[i : i + n] for i in range(len(data) - n + 1))
+            found += [bucket(int.from_bytes(x, "little"), n) for x in runs if b" " not in x[1:-1]]
+        z = sum(float(model.weights[b]) for b in found) / max(1, len(found)) + float(model.weights[quality.shape_tokens((r["text"] or "").encode())].sum()) + model.bias
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-z))) < 1e-5
+
+
+def test_a_sample_of_long_texts_is_bounded(spark):
+    rows = spark.createDataFrame([(i, i % 2, b"x" * 1000) for i in range(40)], "doc_id long, label int, ids binary")
+    kept = quality.bounded(rows, 6500, "ids").collect()
+    assert sorted(r["label"] for r in kept) == [0, 0, 0, 1, 1, 1]
+    assert {r["label"] for r in quality.bounded(rows, 10, "ids").collect()} == {0, 1}
 
 
 def test_equal_words_share_a_pair_bucket():
