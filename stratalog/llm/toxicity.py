@@ -3,11 +3,11 @@
 Sixteen voters (word lists, patterns, and lists of words mined from labelled rows) vote on every text. A generative label
 model, a two-class latent model fitted by expectation maximisation to the counts of all vote patterns, estimates each
 voter's hit rates; what pairs of voters agree on beyond that model is their correlation, and correlated voters share their
-weight. Its posterior is the label of a linear classifier over hashed words and beginnings of words, which scores the
-texts; a logistic calibration on labelled rows sets its scale.
+weight. Its posterior, of labelled and of other texts alike, is the label of a linear classifier over hashed words and
+beginnings of words, which scores the texts; a logistic calibration on labelled rows sets its scale.
 
-Labels, from the rows that the caller allows, are used for mining, the prior and the calibration, and as one more voter of
-known accuracy on the rows that have them.
+Labels, from the rows that the caller allows, are used for mining, the prior and the calibration alone: the classifier
+learns posteriors only.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .arrow import pieces, slices, texts
 from .common import checkpoint
-from .quality import _BASE, _BASE_BACK, _K, _powers, labelled_sample, spans
+from .quality import _BASE, _BASE_BACK, _K, _powers, bounded, labelled_sample
 
 #: Word lists, one voter each. Fixed values.
 LISTS = {
@@ -41,8 +41,6 @@ MINED = 4
 MINED_WORDS = 48
 #: Bytes of the beginnings of longer words that are features too.
 PREFIXES = (5, 6, 7, 8, 9)
-#: Accuracy of a label as a voter.
-LABEL_ACCURACY = 0.95
 PATTERNS = ("shout", "bangs", "you_are", "stacked")
 VOTERS = (*LISTS, *PATTERNS, *(f"mined_{i}" for i in range(MINED)))
 BITS = 20
@@ -52,8 +50,15 @@ VOCABULARY = 2048
 MIN_TEXTS = 4
 #: Most labelled rows of each class for mining and calibration (the documented bound), chosen by a hash of their ids.
 SAMPLE = 2500
+#: Most texts whose posterior is over a half, and most others, that join them for the classifier (documented bounds).
+UNLABELLED = 2500
+#: Most bytes of words of either sample that the driver holds.
+SAMPLE_BYTES = 64 << 20
 THRESHOLD = 0.3
+#: Bytes of one text whose words are hashed at once.
+SPAN = 1 << 20
 
+_INK = re.compile(rb"[^ ]")
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _BANGS = re.compile(rb"[!?]{3,}")
 _YOU_ARE = re.compile(rb"\b(?:you|u|he|she|they) (?:are|re|r|is) (?:a |an |all |such |so |just |nothing but )*(\w+)")
@@ -99,10 +104,36 @@ def bucket_of(word: str) -> int:
     return int(buckets(word_hashes(b" " + word.encode() + b" ")[1])[0])
 
 
+def text_features(text: bytes) -> Iterator[np.ndarray]:
+    """The buckets of all words and beginnings of a whole text, about SPAN bytes at a time. It is parted between words; a word
+    longer than that is hashed in parts."""
+    data, at = text.translate(_FOLD), 0
+    while (first := _INK.search(data, at)) is not None:
+        at, end = first.start(), len(data)
+        if end - at > SPAN:
+            end = data.rfind(b" ", at, at + SPAN)
+            if end < 0:
+                end = data.find(b" ", at)
+                end = len(data) if end < 0 else end
+                yield _long_word(data, at, end)
+                at = end
+                continue
+        yield buckets(feature_hashes(b" " + data[at:end] + b" ")[1])
+        at = end
+
+
+def _long_word(data: bytes, start: int, end: int) -> np.ndarray:
+    h = 0
+    for at in range(start, end, SPAN):
+        c = np.frombuffer(data, np.uint8, min(SPAN, end - at), at).astype(np.uint64) + np.uint64(1)
+        h += int((c * _powers(_BASE, len(c))).sum(dtype=np.uint64)) * pow(_BASE, at - start, 1 << 64)
+    begin = feature_hashes(b" " + data[start : start + max(PREFIXES) + 1] + b" ")[1][1:]
+    return buckets(np.r_[_mix(np.array([h % (1 << 64)], np.uint64)), begin])
+
+
 def presence(text: bytes) -> np.ndarray:
     """Buckets of the distinct words and beginnings of a whole text, ascending."""
-    found = [np.unique(buckets(feature_hashes(b" " + part.translate(_FOLD) + b" ")[1])) for part in spans(text)]
-    return np.unique(np.concatenate(found))
+    return np.unique(np.concatenate([np.zeros(0, np.int64), *(np.unique(b) for b in text_features(text))]))
 
 
 @dataclass(frozen=True)
@@ -125,8 +156,13 @@ class Voters:
         """A bit for each voter that fires, for every text, taken over the whole text."""
         out = np.zeros(len(batch), np.int64)
         for a, b in pieces(batch):
-            found = [self._hits([part]) for part in spans(batch[a])] if b - a == 1 else [self._hits(batch[a:b])]
-            out[a:b] = self._votes(batch[a:b], np.unique(np.concatenate(found, axis=1), axis=1))
+            if len(batch[a]) > SPAN:  # a piece of its own
+                listed = presence(batch[a])
+                listed = listed[self.lists[listed] != 0]
+                hits = np.stack([np.zeros(len(listed), np.int64), listed])
+            else:
+                hits = np.unique(self._hits(batch[a:b]), axis=1)
+            out[a:b] = self._votes(batch[a:b], hits)
         return out
 
     def _hits(self, batch: list[bytes]) -> np.ndarray:
@@ -211,7 +247,7 @@ class Classifier:
     def scores(self, batch: list[bytes]) -> np.ndarray:
         z = np.zeros(len(batch))
         for a, b in pieces(batch):
-            z[a:b] = self._sums(batch[a:b]) if b - a > 1 else self.weights[presence(batch[a])].sum()
+            z[a:b] = self.weights[presence(batch[a])].sum() if len(batch[a]) > SPAN else self._sums(batch[a:b])
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.offset, -50, 50)))
 
     def _sums(self, batch: list[bytes]) -> np.ndarray:
@@ -264,8 +300,13 @@ def mine(sets: list[np.ndarray], labels: np.ndarray) -> list[list[int]]:
 
 def _presence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 64):
-        words = pa.array([presence(t).astype(np.uint32).tobytes() for t in texts(batch.column("_text"))])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), words], ["doc_id", "label", "words"])
+        words = pa.array([presence(t).astype(np.uint32).tobytes() for t in texts(batch.column("_text"))], pa.binary())
+        rest = [c for c in batch.schema.names if c != "_text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), words], [*rest, "words"])
+
+
+def _sets(rows: list) -> list[np.ndarray]:
+    return [np.frombuffer(r["words"], np.uint32).astype(np.int64) for r in rows]
 
 
 @dataclass(frozen=True)
@@ -276,71 +317,97 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", per_class: int = SAMPLE) -> Model:
-    """The model, from a bounded sample of labelled documents where learn holds and the vote patterns of all documents.
+    """The model, from a bounded sample of labelled documents where learn holds, a bounded sample of other documents where it
+    holds, and the vote patterns of all documents.
 
-    Without labels of both classes nothing is mined or calibrated and the word lists alone decide.
+    Without labels of both classes nothing is mined or calibrated and the word lists alone decide. A repeated id counts once,
+    with the text that sorts first; null ids and labels teach nothing, null texts are empty ones; very long texts are read whole.
     """
+    spark = docs.sparkSession
     sample, totals = labelled_sample(labels, label_col, learn, per_class)
-    picked = docs.select(F.col("doc_id").cast("long"), F.col("text").alias("_text")).join(F.broadcast(sample), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"))
+    picked = rows.join(F.broadcast(sample), "doc_id")
     # 2 * per_class rows at most, as a repeated id gives one; written once, so that words and votes are of the same text
     picked = checkpoint(picked.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("_text").alias("_text")))
-    rows = picked.mapInArrow(_presence_rows, "doc_id long, label int, words binary").orderBy("doc_id").collect()
-    sets = [np.frombuffer(r["words"], np.uint32).astype(np.int64) for r in rows]
-    y = np.array([r["label"] for r in rows], float)
+    held = bounded(picked.mapInArrow(_presence_rows, "doc_id long, label int, words binary"), SAMPLE_BYTES, "words").orderBy("doc_id").collect()
+    sets = _sets(held)
+    y = np.array([r["label"] for r in held], float)
     both = len(set(y.tolist())) == 2
     share = totals[1] / max(1, sum(totals)) if both else 0.05
     voters = Voters.build(mine(sets, y) if both else [[] for _ in range(MINED)])
 
-    shared = docs.sparkSession.sparkContext.broadcast(voters)
+    shared = spark.sparkContext.broadcast(voters)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             votes = pa.array(shared.value.votes(texts(batch.column("_text"))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "_text"), votes], [*(c for c in batch.schema.names if c != "_text"), "votes"])
+            rest = [c for c in batch.schema.names if c != "_text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), votes], [*rest, "votes"])
 
-    own = picked.select("doc_id", "_text").mapInArrow(vote, "doc_id long, votes long").orderBy("doc_id").collect()
+    own = {r["doc_id"]: r["votes"] for r in picked.select("doc_id", "_text").mapInArrow(vote, "doc_id long, votes long").collect()}
+    voted = checkpoint(rows.withColumn("_row", F.xxhash64("_text")).mapInArrow(vote, "doc_id long, _row long, votes long"))
     # at most 2 ** 16 patterns: a proven bound
-    patterns = docs.select(F.col("text").alias("_text")).mapInArrow(vote, "votes long").groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()
-    model = LabelModel.fit(np.array([r["votes"] for r in patterns], np.int64), np.array([r["n"] for r in patterns], np.int64), share)
+    patterns = voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()
+    found, counts = (np.array([r[c] for r in patterns], np.int64) for c in ("votes", "n"))
+    model = LabelModel.fit(found, counts, share)
+    if not both:
+        return Model(voters, model, list_classifier(voters, model))
+    votes = [np.array([own[r["doc_id"]] for r in held], np.int64)]
+    weight = [np.where(y == 1, share / (y == 1).mean(), (1 - share) / (y == 0).mean())]
+    for over in (True, False):
+        side = (model.posterior(found) >= 0.5) == over
+        # 2 ** 16 rows at most
+        of_side = F.broadcast(spark.createDataFrame([(int(v),) for v in found[side]], "votes long"))
+        others = voted.filter(F.col("doc_id").isNotNull() & learn).join(of_side, "votes").join(F.broadcast(sample), "doc_id", "left_anti").distinct()
+        others = checkpoint(others.orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id", "_row").limit(UNLABELLED))
+        texts_of = rows.withColumn("_row", F.xxhash64("_text")).join(F.broadcast(others), ["doc_id", "_row"]).dropDuplicates(["doc_id", "_row"])  # UNLABELLED rows
+        words = texts_of.select("doc_id", "_row", "votes", F.lit(int(over)).alias("label"), "_text").mapInArrow(_presence_rows, "doc_id long, _row long, votes long, label int, words binary")
+        more = bounded(words, SAMPLE_BYTES, "words").orderBy("doc_id", "_row").collect()
+        sets += _sets(more)
+        votes.append(np.array([r["votes"] for r in more], np.int64))
+        weight.append(np.full(len(more), counts[side].sum() / max(1, len(more))))
+    rest = np.concatenate(weight[1:])
+    weights = np.r_[weight[0], rest / rest.mean() if len(rest) else rest]
+    return Model(voters, model, fit_classifier(sets, model.posterior(np.concatenate(votes)), weights, y, voters, model))
+
+
+def _listed(voters: Voters, model: LabelModel, columns: np.ndarray) -> np.ndarray:
+    """The label model's gain of the lists that buckets are in."""
+    gain = np.log(model.rates[1] / model.rates[0]) * model.share
+    return np.maximum((((voters.lists[columns][:, None] >> np.arange(len(VOTERS))) & 1) * gain).max(axis=1, initial=0), 0)
 
-    return Model(voters, model, fit_classifier(sets, y, np.array([r["votes"] for r in own], np.int64), share if both else None, voters, model))
+
+def list_classifier(voters: Voters, model: LabelModel) -> Classifier:
+    """What the lists alone say, for want of labels."""
+    weights = np.zeros(1 << BITS)
+    columns = np.flatnonzero(voters.lists)
+    weights[columns] = _listed(voters, model, columns)
+    return Classifier(weights.astype(np.float32), 1.0, float(np.log(model.prior / (1 - model.prior))))
 
 
-def fit_classifier(sets: list[np.ndarray], y: np.ndarray, patterns: np.ndarray, share: float | None, voters: Voters, model: LabelModel) -> Classifier:
-    """The linear classifier from the label model's posteriors on the sample. patterns: all votes on each of its texts.
-    share: of label 1 among all labels, or None if the labels cannot be used."""
+def fit_classifier(sets: list[np.ndarray], post: np.ndarray, weight: np.ndarray, y: np.ndarray, voters: Voters, model: LabelModel) -> Classifier:
+    """The linear classifier from posteriors, post. sets: the words of its texts, of which the first have the labels y, by
+    which it is calibrated."""
+    worth = _information(_counts(sets, post), _counts(sets, 1 - post), post.sum(), (1 - post).sum())
     columns = np.flatnonzero(voters.lists)
-    post = np.zeros(0)
-    if len(sets):
-        post = model.posterior(patterns)
-        if share is not None:
-            z = np.log(post / (1 - post)) + (2 * y - 1) * np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
-            post = 1 / (1 + np.exp(-z))
-        worth = _information(_counts(sets, post), _counts(sets, 1 - post), post.sum(), (1 - post).sum())
-        columns = np.union1d(columns, np.argsort(-worth)[: min(max(0, VOCABULARY - len(columns)), np.count_nonzero(worth))])
+    columns = np.union1d(columns, np.argsort(-worth)[: min(max(0, VOCABULARY - len(columns)), np.count_nonzero(worth))])
     place = np.full(1 << BITS, -1)
     place[columns] = np.arange(len(columns))
-    # words of the lists that the sample lacks keep the label model's gain as their weight
-    gain = np.log(model.rates[1] / model.rates[0]) * model.share
-    w = np.maximum((((voters.lists[columns][:, None] >> np.arange(len(VOTERS))) & 1) * gain).max(axis=1, initial=0), 0)
-    weights = np.zeros(1 << BITS)
-    if share is None:
-        weights[columns] = w
-        return Classifier(weights.astype(np.float32), 1.0, float(np.log(model.prior / (1 - model.prior))))
     features = [place[s][place[s] >= 0] for s in sets]
-    weight = np.where(y == 1, share / (y == 1).mean(), (1 - share) / (y == 0).mean())
     # out of fold sums, so that the calibration sees what new texts get
-    z, fold = np.zeros(len(y)), np.arange(len(y)) % 5
+    z, fold = np.zeros(len(sets)), np.arange(len(sets)) % 5
     for k in range(5):
         use = np.flatnonzero(fold != k)
         wk, bk = _logistic([features[i] for i in use], post[use], weight[use], len(columns))
         z[fold == k] = [wk[features[i]].sum() + bk for i in np.flatnonzero(fold == k)]
-    slope, offset = _calibrate(z, y, weight)
+    slope, offset = _calibrate(z[: len(y)], y, weight[: len(y)])
     learned, b = _logistic(features, post, weight, len(columns))
     seen = np.zeros(len(columns), bool)
     for f in features:
         seen[f] = True
-    weights[columns] = np.where(seen, learned, w)
+    # words of the lists that the samples lack keep the label model's gain as their weight
+    weights = np.zeros(1 << BITS)
+    weights[columns] = np.where(seen, learned, _listed(voters, model, columns))
     return Classifier(weights.astype(np.float32), slope, offset + slope * b)
 
 

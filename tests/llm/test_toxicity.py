@@ -54,7 +54,7 @@ def test_scores_do_not_depend_on_the_batch(monkeypatch):
     batch = [b"some words here", b"", "réeuxment und achlich".encode() * 9, b"x " * 999]
     whole = c.scores(batch)
     assert np.allclose(whole, np.concatenate([c.scores([t]) for t in batch]))
-    monkeypatch.setattr("stratalog.llm.quality.SPAN", 64)
+    monkeypatch.setattr(toxicity, "SPAN", 64)
     assert np.allclose(whole, np.concatenate([c.scores([t]) for t in batch]))
 
 
@@ -72,17 +72,51 @@ def test_lists_alone_decide_without_labels(spark, no_labels):
     assert scores[1] > 0.3 > scores[2]
 
 
-def test_posteriors_use_every_vote_on_the_sample(spark, monkeypatch):
+def test_the_classifier_learns_posteriors_of_all_votes(spark, monkeypatch):
+    """Of labelled and of unlabelled texts alike, from the votes on the whole texts; labels are not among its targets."""
     texts = {1: "What a day, they are idiots!!! and more", 2: "a plain text of words", 3: "THE WHOLE TEXT IS LOUD AND NOTHING ELSE", 4: "you are pathetic", 5: "a calm text"}
-    docs = spark.createDataFrame([*texts.items(), (2, "a plain text of words")], "doc_id long, text string")
+    other = {11: "such an idiot and a moron!!!", 12: "calm words", 13: None}
+    docs = spark.createDataFrame([*texts.items(), (2, "a plain text of words"), *other.items(), (None, "no id")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, toxic int")
-    asked = []
-    posterior = toxicity.LabelModel.posterior
-    monkeypatch.setattr(toxicity.LabelModel, "posterior", lambda self, patterns: asked.append(patterns) or posterior(self, patterns))
+    seen = []
+    fit = toxicity.fit_classifier
+    monkeypatch.setattr(toxicity, "fit_classifier", lambda *a: seen.append(a) or fit(*a))
     model = toxicity.train(docs, labels, F.lit(True))
-    assert [p.tolist() for p in asked] == [model.voters.votes([t.encode() for t in texts.values()]).tolist()]
+    sets, post, weight, y = seen[0][:4]
+    assert len(sets) == len(post) == len(weight) == 8 and y.tolist() == [1, 0, 1, 0, 1]
+    votes = model.voters.votes([t.encode() for t in texts.values()])
+    assert np.allclose(post[:5], model.labels.posterior(votes))
     first = len(toxicity.LISTS)
-    assert [int(p) >> first & 7 for p in asked[0]] == [6, 0, 1, 4, 0]  # bits: shout, bangs, you_are
+    assert [int(p) >> first & 7 for p in votes] == [6, 0, 1, 4, 0]  # bits: shout, bangs, you_are
+    assert sorted(post[5:]) == sorted(model.labels.posterior(model.voters.votes([(t or "").encode() for t in other.values()])))
+
+
+def test_scores_are_the_brute_force(spark):
+    """Every score from the classifier's weights, word by word in plain Python."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"), F.lit(True))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    base, last = toxicity._BASE, (1 << 64) - 1
+
+    def bucket(word: bytes, n: int = 0) -> int:
+        h = sum((c + 1) * pow(base, i, 1 << 64) for i, c in enumerate(word)) + (n << 8) & last
+        return (h ^ h >> 31) * int(toxicity._K) % (1 << 64) >> 64 - toxicity.BITS
+
+    for r in docs.collect():
+        words = set((r["text"] or "").encode().translate(toxicity._FOLD).split())
+        found = {bucket(w) for w in words} | {bucket(w[:n], n) for w in words for n in toxicity.PREFIXES if len(w) > n}
+        z = model.classifier.slope * sum(float(model.classifier.weights[b]) for b in found) + model.classifier.offset
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-z))) < 1e-6
+
+
+def test_words_longer_than_a_part(monkeypatch):
+    rng = np.random.default_rng(4)
+    for _ in range(100):
+        text = bytes(rng.choice(list(b"abcdef     "), rng.integers(1, 90)))
+        whole = np.unique(np.concatenate([np.zeros(0, np.int64), *toxicity.text_features(text)]))
+        monkeypatch.setattr(toxicity, "SPAN", 11)
+        assert np.array_equal(whole, toxicity.presence(text))
+        monkeypatch.undo()
 
 
 def test_votes_are_of_the_whole_text(monkeypatch):
@@ -90,7 +124,7 @@ def test_votes_are_of_the_whole_text(monkeypatch):
     shout, bangs, you_are, stacked = (1 << len(toxicity.LISTS) + k for k in range(4))
     loud = b"THIS TEXT IS LOUD FROM HERE TO ITS END " * 9
     assert [int(x) & shout for x in v.votes([b"mr smith said: " + loud, "¿¡漢字".encode() * 40 + loud * 3, b"The Words Begin Alone " * 9, loud])] == [shout, shout, 0, shout]
-    monkeypatch.setattr("stratalog.llm.quality.SPAN", 64)
+    monkeypatch.setattr(toxicity, "SPAN", 64)
     calm = b"some calm words " * 6
     apart = calm + b"an idiot " + calm + b"so pathetic " + calm
     votes = v.votes([apart]), v.votes([b"you are " + b"just " * 40 + b"stupid"]), v.votes([b"x" * 63 + b"!!!" + b"x" * 99]), v.votes([b"LOUD " * 30 + b"low " * 5])
