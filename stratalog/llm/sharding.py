@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint
+from .common import FILES_PER_CORE, checkpoint
 
 ROUNDS = 6
 #: Number buckets: each is numbered by one task, and their counts are summed over this many rows.
@@ -110,6 +110,7 @@ def shard_rows(rows: DataFrame, hash_column: str, shards: int = 8, seed: int = 2
     An empty table stays empty. rows may not have columns of those names already.
     """
     numbered, n = number_rows(rows, hash_column)
+    numbered = numbered.coalesce(FILES_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism)
     feistel = Feistel(max(n, 1), seed)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema.fields)
 
@@ -123,17 +124,24 @@ def shard_rows(rows: DataFrame, hash_column: str, shards: int = 8, seed: int = 2
     return numbered.mapInArrow(place, f"{fields}, shard int, slot long")
 
 
+def content_hash(id: Column, text: Column, seed: int) -> Column:
+    """64 bits of an MD5 sum of id and text, which other engines can compute too."""
+    joined = F.concat_ws("|", F.lit(str(seed)), F.coalesce(id.cast("string"), F.lit("")), text)
+    return F.conv(F.substring(F.md5(joined), 1, 16), 16, -10).cast("long")
+
+
 def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 20240229, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, size (UTF-8 bytes and one more), text_crc32, row_number, shard, slot.
 
-    Null texts count as empty ones (size 1, crc 0); null and repeated ids are numbered like any other; other columns
-    of docs are not read. Copies of a text are spread like all rows: the law is even row counts, not whole groups.
+    Null texts count as empty ones (size 1, crc 0), very long ones like others; null and repeated ids are numbered like any
+    other, equal rows get numbers that follow each other; an empty table stays empty; other columns of docs are not read. Copies
+    of a text are spread like all rows: the law is even row counts, not whole groups.
     """
     text: Column = F.coalesce(F.col(text_col), F.lit(""))
     narrow = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_hash"),
+        content_hash(F.col(id_col), text, seed).alias("_hash"),
     )
     return shard_rows(narrow, "_hash", shards, seed).drop("_hash")
