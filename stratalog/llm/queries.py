@@ -169,5 +169,93 @@ FROM b LEFT JOIN broken USING (r)
 """
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+_TEMPLATES = [(n, licenses.pattern(m), n.endswith(licenses.MENTIONS)) for n, m in licenses.TEMPLATES.items()]
+
+_LICENSES = rf"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+j AS (SELECT *, ' ' || array_to_string(words, ' ') || ' ' AS line FROM w),
+phrases AS (SELECT unnest([{", ".join(f"{{'said': {p.split()}, 'label': {_text(n)}}}" for p, n in licenses.PHRASES)}], recursive := true)),
+places AS (SELECT r, label, i - 1 AS place FROM j, phrases, unnest(range(1, len(words) - len(said) + 2)) u(i) WHERE contains(line, ' ' || array_to_string(said, ' ') || ' ') AND words[i:i + len(said) - 1] = said),
+base AS (SELECT r, count(*) AS n, min(place) AS a, max(place) AS b, list(DISTINCT label) AS labels FROM places GROUP BY r),
+found AS (SELECT r, list_filter([{", ".join(f"CASE WHEN regexp_matches(line, {_text(' ' + p)}) THEN {_text(n)} END" for n, p, _ in _TEMPLATES)}], lambda x: x IS NOT NULL) AS names FROM j
+    WHERE regexp_matches(line, 'licen|permi|cc by|all rights|redistri|gnu |creative commons|cc0|free |warrant'))
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, b::BIGINT AS last_word,
+    coalesce(array_to_string(list_sort(labels), ','), '') AS base_labels,
+    array_to_string(list_sort(list_distinct(list_concat(coalesce(labels, []), coalesce(names, [])))), ',') AS labels,
+    CASE WHEN len(list_filter(coalesce(names, []), lambda x: x NOT IN ({", ".join(_text(n) for n, _, mention in _TEMPLATES if mention)}))) > 0 THEN 1.0::DOUBLE
+        WHEN len(coalesce(names, [])) > 0 THEN 0.75::DOUBLE WHEN n > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score
+FROM j LEFT JOIN base USING (r) LEFT JOIN found USING (r)
+"""
+
+_SEED = 20240229
+_KEYS = [int(k) for k in sharding.Feistel(1, _SEED)._keys()]
+
+_SHARDS = f"""
+WITH RECURSIVE steps AS (SELECT unnest(range(0, 256)) AS i, unnest(range(0, 256)) AS c, 0 AS k
+    UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+effects AS (SELECT list(c ORDER BY i) AS effect FROM steps WHERE k = 8),
+d AS (SELECT doc_id, coalesce(text, '') AS text, substr(md5(concat_ws('|', '{_SEED}', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(text, ''))), 1, 16) AS h FROM documents),
+b AS (SELECT doc_id, h, strlen(text) + 1 AS size, list_transform(range(0, strlen(text)), lambda k: ('0x' || substr(hex(encode(text)), CAST(2 * k + 1 AS BIGINT), 2))::BIGINT) AS bytes FROM d),
+c AS (SELECT doc_id, h, size, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, effect[1 + (xor(c, x) & 255)]), 4294967295::BIGINT), 4294967295::BIGINT) AS crc FROM b, effects),
+m AS (SELECT n, 1::UBIGINT << half AS top, half FROM (SELECT n, greatest(1, (length(bin(greatest(n - 1, 1))) + 1) // 2)::UBIGINT AS half FROM (SELECT count(*)::UBIGINT AS n FROM documents))),
+rows AS (SELECT *, (row_number() OVER (ORDER BY h, doc_id NULLS FIRST, size, crc) - 1)::UBIGINT AS num FROM c),
+walk AS (SELECT num, num // top AS l, num % top AS r, 0 AS k FROM rows, m
+    UNION ALL SELECT num, CASE WHEN k = {len(_KEYS)} THEN l ELSE r END, CASE WHEN k = {len(_KEYS)} THEN r ELSE xor(l, xor(z2, z2 >> 32) % top) END, CASE WHEN k = {len(_KEYS)} THEN 0 ELSE k + 1 END
+    FROM (SELECT *, ((xor(z1, z1 >> 29)::UHUGEINT * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z2
+        FROM (SELECT num, l, r, k, top, n, (((r::UHUGEINT + coalesce([{", ".join(f"{k}::UHUGEINT" for k in _KEYS)}][k + 1], 0::UHUGEINT)) * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z1
+            FROM walk, m WHERE k < {len(_KEYS)} OR l * top + r >= n))),
+placed AS (SELECT num, l * top + r AS p FROM walk, m WHERE k = {len(_KEYS)} AND l * top + r < n)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'rows' AS law, (p % {SHARDS})::INT AS shard, (p // {SHARDS})::BIGINT AS slot, NULL::INT AS grown_shard FROM rows JOIN placed USING (num)
+"""
+
+
+def _url_models(strings: str, models: str, name: str) -> str:
+    """Steps from {strings} (shape, accepted, rejected, weight, fold) to {name}scored (shape, score): each scored by the models of
+    its fold, which leave the fold out, or by the only one, -1."""
+    own = "m.m = s.fold" if models == "range(0, 5)" else "true"
+    return f"""
+{name}models AS (SELECT unnest({models}) AS m),
+{name}grams AS (SELECT shape, fold, accepted, rejected, weight, substr(p, greatest(1, i - 4), i - greatest(1, i - 4)) AS context, substr(p, i, 1) AS ch
+    FROM (SELECT *, '^' || shape || '$' AS p FROM {strings}), unnest(range(2, length(p) + 1)) u(i)),
+{name}counts AS (SELECT m, right(context, k) AS key, ch, sum(CASE WHEN accepted THEN weight ELSE 0 END) AS a, sum(CASE WHEN rejected THEN weight ELSE 0 END) AS r
+    FROM {name}grams, {name}models, unnest(range(0, length(context) + 1)) u(k) WHERE fold <> m GROUP BY ALL),
+{name}totals AS (SELECT m, key, sum(a) AS an, sum((a > 0)::INT) AS kinds_a, sum(r) AS rn, sum((r > 0)::INT) AS kinds_r FROM {name}counts GROUP BY ALL),
+{name}path AS (SELECT w.m, w.context, w.ch, list([coalesce(c.a, 0)::DOUBLE, t.an::DOUBLE, t.kinds_a::DOUBLE] ORDER BY w.k) AS va, list([coalesce(c.r, 0)::DOUBLE, t.rn::DOUBLE, t.kinds_r::DOUBLE] ORDER BY w.k) AS vr
+    FROM (SELECT m, context, ch, k, right(context, k) AS key FROM (SELECT DISTINCT m, context, ch FROM {name}grams, {name}models), unnest(range(0, length(context) + 1)) u(k)) w
+    JOIN {name}totals t ON t.m = w.m AND t.key = w.key LEFT JOIN {name}counts c ON c.m = w.m AND c.key = w.key AND c.ch = w.ch GROUP BY ALL),
+{name}ratios AS (SELECT m, context, ch, ln(list_reduce(vr, lambda p, s: [CASE WHEN s[2] > 0 THEN (s[1] + 1000 * s[3] * p[1]) / (s[2] + 1000 * s[3]) ELSE p[1] END], [1::DOUBLE / 64])[1])
+    - ln(list_reduce(va, lambda p, s: [CASE WHEN s[2] > 0 THEN (s[1] + 1000 * s[3] * p[1]) / (s[2] + 1000 * s[3]) ELSE p[1] END], [1::DOUBLE / 64])[1]) AS ratio FROM {name}path),
+{name}scored AS (SELECT s.shape, round(avg(m.ratio), 9) AS score FROM {name}grams s JOIN {name}ratios m ON {own} AND m.context = s.context AND m.ch = s.ch GROUP BY s.shape)"""
+
+
+_FIT = "(host = {h} OR ends_with(host, {dot})) AND starts_with(path, {p})"
+_RULE = " ".join(
+    f"WHEN {_FIT.format(h=_text(h), dot=_text('.' + h), p=_text(p))} THEN {{'rule': {_text(h + p)}, 'kind': {_text(k)}}}" for k, h, p in sorted(urlfilter.RULES, key=lambda r: -len(r[1] + r[2]))
+)
+
+_URLS = rf"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+v AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_replace(lower(url), '\d+', '0', 'g') AS shape FROM u),
+ruled AS (SELECT *, CASE {_RULE} END AS rule, len(list_intersect(regexp_split_to_array(host, '[.\-_\d]+'), {list(urlfilter.SEEDS)})) > 0 AS marked,
+    regexp_replace(host, '^(?:{"|".join(urlfilter.FRONTS)})\.', '') AS site FROM v),
+strings AS (SELECT shape, round(ln(1 + count(*)) * 1000)::BIGINT AS weight, bool_or(marked) AS rejected, bool_or(NOT marked AND coalesce(rule.kind = 'allow', true)) AS accepted,
+    (('0x' || substr(md5(min(site)), 1, 8))::BIGINT % 5)::INT AS fold FROM ruled GROUP BY shape),{_url_models("strings", "range(0, 5)", "a_")},
+apart AS (SELECT * FROM strings JOIN a_scored USING (shape)),
+losses AS (SELECT t, count(*) FILTER (accepted AND NOT rejected AND score > t) / count(*) FILTER (accepted AND NOT rejected) + count(*) FILTER (rejected AND score <= t) / count(*) FILTER (rejected) AS loss
+    FROM apart, unnest({list(urlfilter.GRID)}::DOUBLE[]) g(t) GROUP BY t),
+limits AS (SELECT min(t) AS t FROM losses WHERE loss <= (SELECT min(loss) FROM losses) + {urlfilter.NOISE}::DOUBLE),
+mended AS (SELECT shape, weight, fold, rejected OR (accepted AND score > t) AS rejected, accepted AND NOT (rejected OR score > t) AS accepted FROM apart, limits),{_url_models("mended", "[-1]", "b_")}
+SELECT page_id, host, path, rule.rule AS rule, coalesce(rule.kind, CASE WHEN score > t THEN 'block' ELSE 'allow' END) AS verdict, round(score, 6) AS score
+FROM ruled JOIN b_scored USING (shape), limits
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix": _MIX, "op5_quality_rules": _RULES, "op6_decontaminate": _LEAKS}
+    return {"op2_mix": _MIX, "op5_quality_rules": _RULES, "op6_decontaminate": _LEAKS, "op8_licenses": _LICENSES, "op9_shard": _SHARDS, "op10_url_filter": _URLS}
