@@ -1,15 +1,19 @@
 """Main text of web pages by two-pass block rules.
 
 Markup is read once into blocks of text. Places that are never the article (menus, page headers, footers, sidebars, notices,
-adverts, forms, comments, hidden parts) are decided by their elements and class names. The other blocks are classified by
-length, link density and stop-word density; short or undecided ones then take the label of their nearest decided
-neighbours. Where the page marks its article, text inside needs no stop words, as tables and lists have none.
+adverts, forms, comments, hidden parts) are decided by their elements and class names, where a page has such. The first pass
+classifies the other blocks by length, link density and stop-word density; what counts as dense follows the long blocks of
+the page itself, whose language the stop words may not know. The second pass finds the smallest element that holds most of
+the accepted words, rejects blocks outside of it that are no paragraphs, and gives short and undecided blocks the label of
+their nearest decided neighbours, those in the same element first. Where the page marks its article, text inside needs no
+stop words, as tables and lists have none.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +27,8 @@ from .arrow import slices, texts
 SHORT, LONG = 10, 20
 STOP_LOW, STOP_HIGH = 0.15, 0.3
 LINKS = 0.5
+#: Share of the accepted words that the element of the main text holds at least.
+REGION = 0.75
 
 #: Frequent words of English, German, French, Spanish, Italian, Portuguese and Dutch. Fixed values.
 STOP_WORDS = frozenset(
@@ -62,6 +68,9 @@ _PLAIN_MARKS = frozenset(["has", "no", "with", "without"])
 #: An element that opens closes one of these that is still open, up to one of the second.
 CLOSES = {"li": ("ul", "ol", "menu"), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "dt": ("dl",), "dd": ("dl",), "option": ("select",)}
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
+PROSE = frozenset(["p", "pre", "blockquote"])
+_RIGHTS = re.compile(r"(?:\u00a9|\(c\)|copyright\b)", re.IGNORECASE)
+_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
@@ -80,6 +89,10 @@ class Block:
     heading: bool
     outside: bool
     article: bool
+    #: Whether it is text of a paragraph, and the elements that it stands in: its own, and the one around that.
+    prose: bool = False
+    element: int = 0
+    around: int = 0
     label: str = ""
 
 
@@ -91,6 +104,8 @@ class _Place:
     link: bool = False
     heading: bool = False
     header: bool = False
+    prose: bool = False
+    element: int = 0
 
 
 def _marked(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
@@ -119,10 +134,12 @@ def _marked(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
     return outside, article
 
 
-def blocks(page: str) -> list[Block]:
-    """All blocks with text, in page order."""
+def blocks(page: str) -> tuple[list[Block], list[int]]:
+    """All blocks with text, in page order, and for each element, in the order in which they open, the one around it."""
     out: list[Block] = []
+    parents = [0]
     stack = [_Place("")]
+    places: dict[str, list[int]] = {}  # of open elements in the stack, by tag
     parts: list[str] = []
     linked = 0
     at = 0
@@ -132,9 +149,10 @@ def blocks(page: str) -> list[Block]:
         text = " ".join("".join(parts).split())
         if text:
             place, words = stack[-1], text.split(" ")
-            stops = sum(w.strip(".,;:!?()\"'").lower() in STOP_WORDS for w in words)
+            stops = sum(_EDGES.sub("", w).lower() in STOP_WORDS for w in words)
             lost = place.outside or (place.header and not place.heading)
-            out.append(Block(text, len(words), stops, min(linked, len(text)), place.heading, lost, place.article))
+            own = place.element
+            out.append(Block(text, len(words), stops, min(linked, len(text)), place.heading, lost, place.article, place.prose, own, parents[own]))
         parts.clear()
         linked = 0
 
@@ -147,12 +165,11 @@ def blocks(page: str) -> list[Block]:
                 linked += len(text.strip())
 
     def close(tag: str, until: tuple[str, ...] = ()) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag == tag:
-                del stack[k:]
-                return
-            if stack[k].tag in until:
-                return
+        """Ends the last open tag and all in it, unless one of until is open inside of it."""
+        if places.get(tag) and not any(places.get(u, [])[-1:] > places[tag][-1:] for u in until):
+            k = places[tag][-1]
+            while len(stack) > k:
+                places[stack.pop().tag].pop()
 
     while (m := _TOKEN.search(page, at)) is not None:
         add(page[at : m.start()])
@@ -174,12 +191,15 @@ def blocks(page: str) -> list[Block]:
                 close_at = page.find(">", end.start()) if end else -1
                 at = close_at + 1 if close_at >= 0 else len(page)
             continue
-        if tag in BLOCKS and any(p.tag == "p" for p in stack):
+        if tag in BLOCKS and places.get("p"):
             close("p", ("article", "aside", "div", "form", "main", "nav", "section", "table", "button"))
         if tag in CLOSES:
             close(tag, CLOSES[tag])
         above = stack[-1]
         outside, article = _marked(tag, attributes, above.article) if attributes.strip() else (False, False)
+        if tag in BLOCKS:
+            parents.append(above.element)
+        places.setdefault(tag, []).append(len(stack))
         stack.append(
             _Place(
                 tag,
@@ -188,56 +208,91 @@ def blocks(page: str) -> list[Block]:
                 above.link or tag == "a",
                 above.heading or tag in HEADINGS,
                 above.header or (tag == "header" and above.article),
+                tag in PROSE or (above.prose and tag not in BLOCKS),
+                len(parents) - 1 if tag in BLOCKS else above.element,
             )
         )
-        if len(stack) > 512:  # broken nesting: what is this deep stays as it is
-            del stack[256]
     add(page[at:])
     flush()
-    return out
+    return out, parents
 
 
-def classify(found: list[Block]) -> list[Block]:
-    """The blocks of the main text, labelled in two passes. A marked article, if it has text, is the only candidate."""
-    marked = any(b.article and not b.outside for b in found)
+def _decide(found: list[Block], marked: bool) -> None:
+    """The first pass: labels good and bad, and for undecided blocks near, unlike and short."""
+    usual = sorted(b.stops / b.words for b in found if b.words >= LONG and not b.outside and b.linked <= 0.2 * len(b.text))
+    base = usual[len(usual) // 2] if usual else 1.0
+    low, high = min(STOP_LOW, base / 2), min(STOP_HIGH, base * 0.6)
     for b in found:
         density, links = b.stops / b.words, b.linked / len(b.text)
-        if b.outside or (marked and not b.article) or links > LINKS:
+        if b.outside or (marked and not b.article) or links > LINKS or (not b.article and b.words < LONG and _RIGHTS.match(b.text)):
             b.label = "bad"
         elif b.words < SHORT:
             b.label = "short"
         elif b.article:
             b.label = "good"
-        elif density >= STOP_HIGH:
+        elif density >= high:
             b.label = "good" if b.words >= LONG else "near"
         else:
-            b.label = "bad" if density < STOP_LOW and links > 0 else "near" if density >= STOP_LOW else "unlike"
+            b.label = "bad" if density < low and links > 0 else "near" if density >= low else "unlike"
+
+
+def _region(found: list[Block], parents: list[int]) -> tuple[int, int]:
+    """First and last element of the smallest one that holds REGION of the good words; of the page if there are none."""
+    words, last = [0] * len(parents), list(range(len(parents)))
+    for b in found:
+        words[b.element] += b.words if b.label == "good" else 0
+    for e in range(len(parents) - 1, 0, -1):
+        words[parents[e]] += words[e]
+        last[parents[e]] = max(last[parents[e]], last[e])
+    most = max((e for e in range(len(parents)) if words[e] and words[e] >= REGION * words[0]), default=0)
+    return most, last[most]
+
+
+def _near(places: list[int], i: int) -> tuple[int | None, int | None]:
+    """The places before and after i."""
+    k = bisect(places, i)
+    return (places[k - 1] if k else None), (places[k] if k < len(places) else None)
+
+
+def classify(found: list[Block], parents: list[int]) -> list[Block]:
+    """The blocks of the main text, labelled in two passes. A marked article, if it has text, is the only candidate."""
+    marked = any(b.article and not b.outside for b in found)
+    _decide(found, marked)
+    if not marked:
+        first, last = _region(found, parents)
+        if first:
+            for b in found:
+                if not first <= b.element <= last and not (b.prose and b.label == "good"):
+                    b.label = "bad"
     region = [b for b in found if not b.outside and (b.article or not marked)]
-    decided = [b.label if b.label in ("good", "bad") else "" for b in region]
-    before, after, last = [], [], ""
-    for d in decided:
-        before.append(last)
-        last = d or last
-    last = ""
-    for d in reversed(decided):
-        after.append(last)
-        last = d or last
-    for b, left, right in zip(region, before, reversed(after), strict=True):
+    decided = [i for i, b in enumerate(region) if b.label in ("good", "bad")]
+    inside: dict[int, list[int]] = {}
+    for i in decided:
+        inside.setdefault(region[i].around, []).append(i)
+    labels = []
+    for i, b in enumerate(region):
         if b.label in ("good", "bad"):
+            labels.append(b.label)
             continue
-        sides = {left, right} - {""}
-        if len(sides) == 1:
-            b.label = sides.pop()
-        elif not sides:
-            b.label = "good"  # nothing on the page is decided: what is left after the outside parts is its text
+        sides = [k for k in _near(inside.get(b.around, decided), i) if k is not None]
+        kinds = {region[k].label for k in sides}
+        if len(kinds) == 1:
+            labels.append(kinds.pop())
+        elif not kinds:
+            labels.append("good")  # nothing on the page is decided: what is left after the outside parts is its text
         else:
-            b.label = "good" if b.article or b.label == "near" or (b.heading and right == "good") else "bad"
+            left, right = sides
+            closer = region[left].label if i - left < right - i else region[right].label if right - i < i - left else ""
+            keep = b.article or b.label == "near" or (b.heading and region[right].label == "good") or closer == "good" or (not closer and b.prose)
+            labels.append("good" if keep else "bad")
+    for b, label in zip(region, labels, strict=True):
+        b.label = label
     return [b for b in found if b.label == "good"]
 
 
 def main_text(page: str) -> str:
     """The main text: its blocks in page order, white space as single spaces. Empty for an empty page."""
-    return " ".join(b.text for b in classify(blocks(page)))
+    return " ".join(b.text for b in classify(*blocks(page)))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,9 +304,10 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Per page: page_id, url, text, n_chars (code points). Null and empty pages have an empty text.
+    """Per page: page_id, url, text, n_chars (code points). Null and empty pages have an empty text, an empty table no rows.
 
-    Pages without closing tags are read to their end; ids and urls may be null or repeated; other columns are not read.
+    Pages without closing tags are read to their end, and elements may be open to any depth; time and memory are in proportion
+    to a page, however long. Ids and urls may be null or repeated; repeated pages give equal texts; other columns are not read.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("_html"))
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
