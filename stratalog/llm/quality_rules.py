@@ -104,11 +104,12 @@ def _log_gamma(z: str) -> str:
 def binomial_tail(k: str, n: str, p: str) -> Column:
     """P(Bin(n, p) <= k), exact to double precision for k below n * p; 1 from there on (no such cutoff is certified).
 
-    The terms shrink from k downwards; after 100,000 of them nothing is left of them at any n below 10 ** 12.
+    The terms shrink from k downwards: the i-th is at most exp(-i * i / (2 * n * p)) of the first, so that after 40
+    square roots of n * p nothing is left of them, and all before are summed, whatever n is.
     """
     n_, k_, p_ = f"cast({n} as double)", f"cast({k} as double)", f"cast({p} as double)"
     log_top = f"{_log_gamma(f'{n_} + 1')} - {_log_gamma(f'{k_} + 1')} - {_log_gamma(f'{n_} - {k_} + 1')} + {k_} * ln({p_}) + ({n_} - {k_}) * ln(1 - {p_})"
-    series = f"""aggregate(sequence(0L, least(greatest({k}, 1L), 100000L) - 1), named_struct('t', 1D, 's', 1D),
+    series = f"""aggregate(sequence(0L, least(greatest({k}, 1L), cast(40 * sqrt({n_} * {p_}) + 40 as bigint)) - 1), named_struct('t', 1D, 's', 1D),
         (a, i) -> named_struct('t', a.t * ({k_} - i) / ({n_} - {k_} + i + 1) * (1 - {p_}) / {p_},
                                's', a.s + a.t * ({k_} - i) / ({n_} - {k_} + i + 1) * (1 - {p_}) / {p_}), a -> a.s)"""
     return F.expr(f"case when {k} >= {n} * {p_} then 1D else least(1D, exp({log_top}) * {series}) end")
@@ -152,7 +153,9 @@ def select_cutoffs(features: DataFrame, labels: DataFrame, risk: Risk = Risk())
 def judge(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """Per document: doc_id, its counts, base_failed, kept and broken (the statistics beyond their cutoffs).
 
-    Empty texts fail the base rules. A stratum with too few labels to certify anything loses nothing to the method.
+    Null and empty texts fail the base rules. A stratum with too few labels to certify anything loses nothing to the method;
+    a null stratum is one of its own. Repeated rows are judged alike and each counts where its id has a label; very long texts
+    are read whole; an empty table stays empty, and without labels the base rules alone decide. Other columns are not read.
     """
     features = checkpoint(base_features(docs, id_col, text_col, stratum_col))
     cutoffs = checkpoint(select_cutoffs(features, labels, risk))

@@ -49,6 +49,14 @@ def test_binomial_tail_is_exact(spark, p):
         assert r["t"] == pytest.approx(want, rel=1e-9)
 
 
+def test_binomial_tail_of_very_large_samples(spark):
+    """Three deviations out, at sizes where the series has some millions of terms, the tail is that of the normal curve."""
+    p = 0.01
+    rows = [(int(n * p - 3 * (n * p * (1 - p)) ** 0.5), n) for n in (10**9, 10**11, 10**12)]
+    for r in spark.createDataFrame(rows, "k long, n long").select("n", quality_rules.binomial_tail("k", "n", str(p)).alias("t")).collect():
+        assert r["t"] == pytest.approx(0.00135, rel=0.02)
+
+
 def made(spark, bad_symbols: str, n: int = 1500):
     text = F.concat(F.lit("these are words of a plain text number "), F.col("id").cast("string"), F.lit(" and some more "), F.when(F.col("id") % 5 == 0, bad_symbols).otherwise(""))
     docs = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"), F.when(F.col("id") % 3 == 0, "en").alias("lang"))
