@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..plans.visibility import running_sum
 
 #: Upper edges of the latency histogram in microseconds, inclusive. Fixed values.
 EDGES = (1, 2, 5, 10, 25, 50, 100, 250, 500, 1000, 5000, 10000, 100000)
@@ -37,11 +38,12 @@ def hit_rate(hits: Column, misses: Column) -> Column:
 def percentiles(rows: DataFrame, value: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99, 0.999)) -> DataFrame:
     """Mean, the values at index int(n * p) of the sorted list (n - 1 at most) for each p, and the largest.
 
-    The values are counted first, so equal ones are one row; ranks are running sums over those counts.
+    The values are counted first, so equal ones are one row; ranks are running sums over those counts, by ranges of values.
     """
     counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    up = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.withColumn("upto", F.sum("n").over(up)).withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(0))))
+    placed = running_sum(counts, "v", F.col("n"), "upto")
+    total = placed.agg(F.sum("n").alias("total"))  # one row
+    placed = placed.join(F.broadcast(total))
     ranks = [F.least((F.col("total") * F.lit(p)).cast("long"), F.col("total") - 1) for p in shares]
     names = [f"p{str(p * 100).rstrip('0').rstrip('.').replace('.', '_')}" for p in shares]
     return placed.agg(
