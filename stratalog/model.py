@@ -25,7 +25,15 @@ POINT_SCHEMA = T.StructType(
     ]
 )
 RANGE_SCHEMA = T.StructType([T.StructField("start", T.BinaryType(), False), T.StructField("end", T.BinaryType(), False), T.StructField("seq", T.LongType(), False)])
-VALUE_SCHEMA = T.StructType([T.StructField("file_num", T.IntegerType(), False), T.StructField("row_id", T.LongType(), False), T.StructField("value", T.BinaryType())])
+VALUE_SCHEMA = T.StructType(
+    [
+        T.StructField("file_num", T.IntegerType(), False),
+        T.StructField("row_id", T.LongType(), False),
+        T.StructField("key", T.BinaryType(), False),
+        T.StructField("seq", T.LongType(), False),
+        T.StructField("value", T.BinaryType()),
+    ]
+)
 
 
 class Durability(Enum):
@@ -136,7 +144,14 @@ class Options:
     checkpoint_every: int = 100
     #: Ranges of tombstones that are joined as a broadcast nested loop; more go through disjoint segments.
     broadcast_ranges: int = 64
+    #: Merges what is due after a flush and after a bulk write.
     auto_compact: bool = False
+    #: Commits whose writes are remembered for the validation of transactions; older ones conflict with any commit.
+    remember_commits: int = 4096
+    #: Seconds that a file must be old before vacuum deletes it: other processes may read or be about to publish it.
+    vacuum_age: float = 0.0
+    #: Scans that cached_scan keeps; the one used longest ago goes first.
+    cached_scans: int = 8
     read_only: bool = False
     track_scans: bool = False
     master_key: bytes | None = field(default=None, repr=False)
@@ -144,12 +159,12 @@ class Options:
     def validate(self) -> Options:
         positive = (
             "max_key_size", "max_value_size", "buffer_bytes", "max_level0_files", "level0_trigger", "level1_bytes", "target_file_bytes",
-            "txn_max_keys", "txn_max_bytes", "checkpoint_every",
+            "txn_max_keys", "txn_max_bytes", "checkpoint_every", "remember_commits", "cached_scans",
         )
         for name in positive:
             if getattr(self, name) <= 0:
                 raise InvalidOptionsError(f"{name} must be positive")
-        if self.value_threshold < 0 or self.broadcast_ranges < 0:
+        if self.value_threshold < 0 or self.broadcast_ranges < 0 or self.vacuum_age < 0:
             raise InvalidOptionsError("thresholds must not be negative")
         if self.level_multiplier < 2:
             raise InvalidOptionsError("level_multiplier must be 2 at least")

@@ -14,9 +14,10 @@ def placement(value: Column, threshold: int) -> Column:
 
 
 def separate(points: DataFrame, threshold: int, file_num: int) -> tuple[DataFrame, DataFrame]:
-    """points with pointers in the place of large values, and the values (file_num, row_id, value).
+    """points with pointers in the place of large values, and the values (file_num, row_id, key, seq, value).
 
-    row_id is a hash of key and seq, which name a version: both halves can be computed apart and again.
+    A value is found by its key and sequence, which name a version, in the files of file_num; row_id, a hash of them, is what
+    a pointer of fixed length holds. Both halves can be computed apart and again.
     """
     large = (F.col("kind") == INLINE) & (placement(F.col("value"), threshold) == POINTER)
     row = F.xxhash64("key", "seq")
@@ -25,14 +26,17 @@ def separate(points: DataFrame, threshold: int, file_num: int) -> tuple[DataFram
         "key", "seq", F.when(F.col("_large"), POINTER).otherwise(F.col("kind")).alias("kind"),
         F.when(~F.col("_large"), F.col("value")).alias("value"), F.when(F.col("_large"), pointer).otherwise(F.col("pointer")).alias("pointer"),
     )
-    return log, points.filter(large).select(F.lit(file_num).cast("int").alias("file_num"), row.alias("row_id"), "value")
+    return log, points.filter(large).select(F.lit(file_num).cast("int").alias("file_num"), row.alias("row_id"), "key", "seq", "value")
 
 
 def dereference(rows: DataFrame, values: DataFrame) -> DataFrame:
-    """rows with the values that their pointers name: joined after visibility, so only survivors are looked up."""
-    v = values.select(F.col("file_num").alias("_f"), F.col("row_id").alias("_r"), F.col("value").alias("_value"))
-    out = rows.join(v, (F.col("pointer.file_num") == F.col("_f")) & (F.col("pointer.row_id") == F.col("_r")), "left")
-    return out.withColumn("value", F.when(F.col("kind") == POINTER, F.col("_value")).otherwise(F.col("value"))).drop("_f", "_r", "_value")
+    """rows with the values that their pointers name: joined after visibility, so only survivors are looked up, and rows
+    without a pointer take no part in the join."""
+    v = values.select(F.col("file_num").alias("_f"), F.col("key").alias("_k"), F.col("seq").alias("_s"), F.col("value").alias("_value"))
+    named = rows.filter(F.col("kind") == POINTER)
+    found = named.join(v, (F.col("pointer.file_num") == F.col("_f")) & (F.col("key") == F.col("_k")) & (F.col("seq") == F.col("_s")), "left")
+    found = found.withColumn("value", F.col("_value")).drop("_f", "_k", "_s", "_value")
+    return rows.filter(F.col("kind") != POINTER).unionByName(found)
 
 
 def dead_bytes(before: DataFrame, after: DataFrame, framing: int = 0) -> DataFrame:

@@ -91,6 +91,26 @@ class Files:
         path = self._path(self.at(name))
         return sorted(str(s.getPath().getName()) for s in self.fs.listStatus(path) if s.isFile()) if self.fs.exists(path) else []
 
+    def tree(self, name: str) -> dict[str, tuple[int, float]]:
+        """Size and time of change (in seconds) of all Parquet files below a folder, by their names from the root."""
+        out = {}
+        if p := self._local(name):
+            for folder, _, names in os.walk(p):
+                for x in names:
+                    if x.endswith(".parquet"):
+                        found = os.stat(os.path.join(folder, x))
+                        out[os.path.relpath(os.path.join(folder, x), self.local)] = (found.st_size, found.st_mtime)
+            return out
+        path = self._path(self.at(name))
+        if self.fs.exists(path):
+            it = self.fs.listFiles(path, True)
+            while it.hasNext():
+                status = it.next()
+                full = str(status.getPath().toString())
+                if full.endswith(".parquet"):
+                    out[f"{name}/" + full.rsplit(f"/{name}/", 1)[1]] = (int(status.getLen()), int(status.getModificationTime()) / 1000)
+        return out
+
     def delete(self, name: str) -> None:
         self.fs.delete(self._path(self.at(name)), True)
 

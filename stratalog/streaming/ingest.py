@@ -2,50 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..model import DELETE
 from ..store import Store
 
 
-def ingest(stream: DataFrame, store: Store, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+def ingest(stream: DataFrame, store: Store, checkpoint: str, trigger: dict | None = None, order: str | None = None) -> StreamingQuery:
     """Appends each micro-batch (key, value, and kind if there are deletes) as one commit.
 
-    A batch that is replayed after a failure is appended again with a newer sequence and the same contents, which changes
-    nothing that a later snapshot shows.
+    Of several rows of a key in a batch the last by the column order stays; without one, the largest value, as a batch has
+    no order of its own. A commit records the checkpoint folder and the number of its batch, so a batch that is replayed
+    after a failure is known and appended once.
     """
     deletes = "kind" in stream.columns
 
-    def append(batch: DataFrame, _: int) -> None:
+    def append(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            store.write(batch, deletes)
+            store.write(batch, deletes, order, source=checkpoint, batch=number)
 
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _current(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    seq, kind, value = state.get if state.exists else (-1, DELETE, None)
-    changed = False
-    for f in frames:
-        top = f.loc[f["seq"].idxmax()]
-        if int(top["seq"]) > seq:
-            seq, kind, value, changed = int(top["seq"]), int(top["kind"]), top["value"], True
-    state.update((seq, kind, value))
-    if changed:
-        yield pd.DataFrame({"key": [key[0]], "seq": [seq], "deleted": [kind == DELETE], "value": [None if kind == DELETE else value]})
-
-
-def current_values(log: DataFrame, key_type: str = "binary", value_type: str = "binary") -> DataFrame:
-    """A changelog of the newest version per key of a streamed log (key, seq, kind, value); late older versions are ignored."""
-    out = f"key {key_type}, seq long, deleted boolean, value {value_type}"
-    state = f"seq long, kind int, value {value_type}"
-    return log.select("key", "seq", "kind", "value").groupBy("key").applyInPandasWithState(_current, out, state, "update", GroupStateTimeout.NoTimeout)
+def current_values(log: DataFrame) -> DataFrame:
+    """The newest version per key of a streamed log (key, seq, kind, value), for the update mode: a row of key, seq, deleted and
+    value for each key that a batch touched. Late older versions change nothing."""
+    newest = log.groupBy("key").agg(F.max_by(F.struct("seq", "kind", "value"), F.struct("seq", -F.col("kind"))).alias("_v"))
+    gone = F.col("_v.kind") == DELETE
+    return newest.select("key", F.col("_v.seq").alias("seq"), gone.alias("deleted"), F.when(~gone, F.col("_v.value")).alias("value"))
 
 
 def published_watermark(log: DataFrame) -> DataFrame:
