@@ -10,9 +10,10 @@ import pytest
 
 from stratalog import queries
 from stratalog.functions import crypto, keycodec
-from stratalog.functions.checksum import crc32c, crc32c_column
+from stratalog.functions.checksum import _LIST, crc32c, crc32c_column, crc32c_rows
 from stratalog.functions.text import human_bytes
 from stratalog.model import Options
+from stratalog.operators import stats
 from stratalog.plans import compaction, visibility
 from stratalog.sources.lines import split_lines
 from pyspark.sql import functions as F
@@ -51,7 +52,7 @@ def histories(spark):
     return out
 
 
-@pytest.mark.parametrize("n_ranges", [1, visibility.BROADCAST_RANGES + 1])
+@pytest.mark.parametrize("n_ranges", [1, visibility.BROADCAST_RANGES + 1, None])
 def test_visible_is_the_model(histories, n_ranges):
     for points, ranges, p, r in histories:
         for snapshot in (7, 33, 60):
@@ -83,6 +84,41 @@ def test_the_key_filter_and_columns_reach_the_scan(spark, tmp_path):
     assert "EqualTo(key,7)" in plan and "LessThanOrEqual(seq,500)" in plan and "value" not in plan.split("ReadSchema")[1]
 
 
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_newest_versions_carry_their_payload_once(spark, tmp_path):
+    """One row a key before the shuffle, and no payload in the order of the versions."""
+    spark.range(1000).selectExpr("id % 50 key", "id seq", "1 kind", "repeat('x', 50) value").write.parquet(str(tmp_path / "log"))
+    plan = plan_of(visibility.latest(spark.read.parquet(str(tmp_path / "log"))))
+    assert plan.count("WindowGroupLimit") == 2 and "SortAggregate" not in plan and plan.count("Exchange") == 1
+
+
+def test_few_tombstones_are_counted_before_they_are_broadcast(spark):
+    p = spark.range(500).selectExpr("id key", "id seq", "1 kind", "id value")
+    few, many = (spark.range(n).selectExpr("id * 5 start", "id * 5 + 2 end", "1000 seq") for n in (60, 90))
+    assert "BroadcastNestedLoopJoin" in plan_of(visibility.visible(p, few)) and "BroadcastNestedLoopJoin" not in plan_of(visibility.visible(p, many))
+    assert visibility.visible(p, few).count() == 380 and visibility.visible(p, many).count() == 320
+    assert visibility.visible(p, many, limit=100).count() == 320 and "BroadcastNestedLoopJoin" in plan_of(visibility.visible(p, many, limit=100))
+
+
+def test_young_versions_are_merged_without_a_shuffle(spark):
+    p = spark.range(500).selectExpr("id % 10 key", "id seq", "1 kind", "id value")
+    plan = plan_of(compaction.keep(p, None, 100, False))
+    assert plan.index("Union") < plan.index("Exchange") and plan.count("Exchange") == 1
+
+
+def test_no_window_has_all_rows(spark):
+    """Percentiles and ranks are summed by ranges first."""
+    rows = spark.range(2000).selectExpr("cast(id * 7 % 1000 as double) v")
+    row = stats.percentiles(rows, "v").first()
+    want = sorted(float(i * 7 % 1000) for i in range(2000))
+    assert (row["total"], row["p50"], row["p95"], row["p99"], row["p99_9"]) == (2000, want[1000], want[1900], want[1980], want[1998])
+    ranks = {r["v"]: r["_rank"] for r in visibility.ranked(rows.distinct(), "v").collect()}
+    assert ranks == {float(i): i for i in range(1000)}
+
+
 def meta(path, level, low, high, seq=1, size=100):
     return compaction.FileMeta(path, "points", level, 1, size, low, high, seq, seq)
 
@@ -105,6 +141,13 @@ def test_crc32c(spark):
     want = {b"": 0, b"a": 0xC1D04330, b"abc": 0x364B3FB7, b"123456789": 0xE3069283}
     assert {k: crc32c(k) for k in want} == want
     assert crc32c(b"6789", crc32c(b"12345")) == want[b"123456789"]
+    long = bytes(i * i % 251 for i in range(700_001))
+    for data in (long, long[:131_072], long[:131_073]):
+        bitwise = 0xFFFFFFFF
+        for x in data:
+            bitwise = bitwise >> 8 ^ _LIST[(bitwise ^ x) & 255]
+        assert crc32c(data) == bitwise ^ 0xFFFFFFFF == crc32c(data[99:], crc32c(data[:99]))
+    assert crc32c_rows([long, b"", b"123456789", long[:7]]).tolist() == [crc32c(long), 0, 0xE3069283, crc32c(long[:7])]
     df = spark.createDataFrame([(bytearray(k),) for k in want] + [(None,)], "b binary")
     assert {r["b"] and bytes(r["b"]): r["c"] for r in df.select("b", crc32c_column(F.col("b")).alias("c")).collect() if r["b"]} == {k: v for k, v in want.items() if k}
 
@@ -144,7 +187,7 @@ def _plain(v):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for t in os.listdir(SF):

@@ -20,6 +20,16 @@ def test_current_values_ignore_older_versions(spark, tmp_path):
     rows = [("a", 1, 1, "x"), ("a", 5, 1, "y"), ("b", 2, 3, None)]
     spark.createDataFrame(rows, "key string, seq long, kind int, value string").coalesce(1).write.parquet(src)
     stream = spark.readStream.schema("key string, seq long, kind int, value string").parquet(src)
-    q = current_values(stream, "string", "string").writeStream.format("memory").queryName("current").outputMode("update").trigger(availableNow=True).start()
+    q = current_values(stream).writeStream.format("memory").queryName("current").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(tuple(r) for r in spark.table("current").collect()) == [("a", 5, False, "y"), ("b", 2, True, None)]
+
+
+def test_a_batch_keeps_the_last_row_of_a_key(spark, tmp_path):
+    src, schema = str(tmp_path / "in"), "key binary, value binary, kind int, at int"
+    with Store.open(spark, str(tmp_path / "db")) as store:
+        rows = [(bytearray(b"a"), v and bytearray(v), k, at) for v, k, at in ((b"9", 1, 0), (None, 3, 1), (b"1", 1, 2))]
+        spark.createDataFrame(rows, schema).write.parquet(src)
+        for _ in range(2):  # a second run has nothing new
+            ingest(spark.readStream.schema(schema).parquet(src), store, str(tmp_path / "state"), order="at").awaitTermination()
+        assert store.get(b"a") == b"1" and store.stats().seq == 1
