@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..model import DELETE
-from ..plans.visibility import latest, version_ranks, visible
+from ..plans.materialise import materialise
+from ..plans.visibility import latest, running_sum, version_ranks, visible
 
 
 def in_range(lower, upper, key: str = "key") -> Column:
@@ -33,6 +34,23 @@ def seek_ge(points: DataFrame, target, n: int, ranges: DataFrame | None = None,
     return visible(points.filter(in_range(start, upper, key)), ranges, snapshot, (key,), n_ranges).orderBy(key).limit(n)
 
 
+def next_rows(rows: DataFrame, starts: DataFrame, key: str = "key", start: str = "start", n: str = "n") -> DataFrame:
+    """For every row of starts (start and n, and others) the next n rows of rows with a key not below start, in one job.
+
+    rows has distinct keys. Keys and starts are ranked together, by ranges, so a start knows the rank of the key it meets
+    first; the ranks that it wants are dealt out and met by an equality join. No pair of key and start is compared.
+    """
+    ends = rows.select(F.col(key).alias("_k"), F.lit(1).alias("_is_key")).unionByName(starts.select(F.col(start).alias("_k"), F.lit(0).alias("_is_key")).distinct())
+    # of an equal start and key the start comes first: it counts the keys below it
+    ranks = running_sum(ends.select(F.struct("_k", "_is_key").alias("_e"), "_is_key"), "_e", F.col("_is_key").cast("long"), "_upto")
+    ranks = materialise(ranks.select("_e._k", "_e._is_key", "_upto"))
+    firsts = ranks.filter("_is_key = 0").select(F.col("_k").alias("_start"), F.col("_upto").alias("_from"))
+    wanted = starts.join(firsts, F.col(start) == F.col("_start")).drop("_start")
+    wanted = wanted.withColumn("_rank", F.explode(F.sequence(F.col("_from") + 1, F.col("_from") + F.greatest(F.col(n), F.lit(1))))).filter(F.col(n) > 0).drop("_from")
+    keys = ranks.filter("_is_key = 1").select(F.col("_k").alias(key), F.col("_upto").alias("_rank"))
+    return wanted.join(keys, "_rank").drop("_rank").join(rows, key)
+
+
 def point_get(points: DataFrame, value, ranges: DataFrame | None = None, snapshot: int | None = None, key: str = "key", n_ranges: int | None = None) -> DataFrame:
     """The visible row of one key, or none."""
     return visible(points.filter(F.col(key) == F.lit(value)), ranges, snapshot, (key,), n_ranges)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as units
 from .model import BackPressureError, ConflictError, EncryptionError, Options, ReadOnlyError, TxnTooLargeError
+from .operators import reads
 from .plans.materialise import materialise, shared_folder
 from .queries import query, table
 from .sources.backup import restore
@@ -448,3 +449,16 @@ def store_fsck(spark, d, open_store):
         db.files.delete(next(f.path for f in db._version.files))
         missing = any(x.startswith("missing") for x in db.fsck())
     return reduce(DataFrame.unionByName, [spark.createDataFrame([x], "case string, found boolean") for x in (("missing", missing), ("orphan", orphan), ("sound", sound))])
+
+
+@query("""SELECT n_nationkey AS scan, count(*) AS n, min(c_custkey) AS first, max(c_custkey) AS last
+    FROM (SELECT n_nationkey, c_custkey FROM nation JOIN customer ON c_custkey >= n_nationkey * 7 QUALIFY row_number() OVER (PARTITION BY n_nationkey ORDER BY c_custkey) <= 1 + n_nationkey * 4) GROUP BY 1""")
+@in_a_store()
+def store_many_scans(spark, d, open_store):
+    """A scan of the next keys from a start for each nation, all in one job."""
+    with open_store() as db:
+        db.write(customers(spark, d))
+        starts = table(spark, d, "nation").select(F.col("n_nationkey").alias("scan"), key_of(F.col("n_nationkey") * 7).alias("start"), (F.col("n_nationkey") * 4 + 1).cast("int").alias("n"))
+        number = F.substring(F.decode("key", "UTF-8"), 2, 9).cast("long")
+        found = reads.next_rows(db.scan(), starts).groupBy(F.col("scan").cast("long").alias("scan"))
+        return materialise(found.agg(F.count(F.lit(1)).alias("n"), F.min(number).alias("first"), F.max(number).alias("last")))

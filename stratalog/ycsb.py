@@ -13,6 +13,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import stats
+from .operators.reads import next_rows
+from .plans.materialise import materialise
 from .store import Store
 
 #: Shares of reads, updates, scans and inserts. Fixed values.
@@ -79,8 +82,31 @@ def run(spark: SparkSession, store: Store, workload: str, records: int, operatio
 
 
 def _scans(spark: SparkSession, store: Store, records: int, scans: int, most: int, seed: int) -> DataFrame:
-    """Rows of all scans: each starts at a random key and takes up to most of the next ones. As loaded keys are dense, the
-    wanted keys are known and all scans are one multi-get."""
-    starts = spark.range(scans).select((F.rand(seed) * records).cast("long").alias("s"), (F.rand(seed + 1) * most + 1).cast("int").alias("n"))
-    wanted = starts.select(F.explode(F.sequence("s", F.col("s") + F.col("n") - 1)).alias("i"))
-    return store.multi_get(wanted.filter(F.col("i") < records).select(make_key(F.col("i")).alias("key")))
+    """Rows of all scans: each starts at a key, drawn uniformly, and takes up to most of the next ones in key order."""
+    starts = spark.range(scans).select(
+        F.col("id").alias("scan"), make_key((F.rand(seed) * records).cast("long")).alias("start"), (F.rand(seed + 1) * most + 1).cast("int").alias("n")
+    )
+    return next_rows(store.scan(), materialise(starts))
+
+
+def latencies(spark: SparkSession, store: Store, records: int, operations: int = 20, seed: int = 1) -> dict[str, dict[str, float]]:
+    """Milliseconds of single operations, one after the other: median, 95th percentile and largest of gets, sets and scans of 100
+    keys. A get or scan of files is a Spark job."""
+    chosen = zipf(records, size=operations, seed=seed)
+    named = [b"user%020d" % i for i in chosen]
+    calls = {
+        "get": lambda k: store.get(k),
+        "set": lambda k: store.set(k, b"v" * 100),
+        "get_buffered": lambda k: store.get(k),
+        "scan": lambda k: store.scan(k).limit(100).collect(),
+    }
+    out = {}
+    for name, call in calls.items():
+        took = []
+        for k in named:
+            began = time.perf_counter()
+            call(k)
+            took.append((time.perf_counter() - began) * 1000)
+        row = stats.percentiles(spark.createDataFrame([(t,) for t in took], "ms double"), "ms", (0.5, 0.95)).first()
+        out[name] = {"p50": round(row["p50"], 3), "p95": round(row["p95"], 3), "max": round(row["max"], 3)}
+    return out

@@ -13,7 +13,7 @@ from stratalog.functions import crypto, keycodec
 from stratalog.functions.checksum import _LIST, crc32c, crc32c_column, crc32c_rows
 from stratalog.functions.text import human_bytes
 from stratalog.model import Options
-from stratalog.operators import stats
+from stratalog.operators import reads, stats
 from stratalog.plans import compaction, visibility
 from stratalog.sources.lines import split_lines
 from pyspark.sql import functions as F
@@ -199,3 +199,13 @@ def test_query_equals_its_sql(spark, name):
     at = [[c[0] for c in result.description].index(c) for c in order]
     want = [tuple(_plain(r[i]) for i in at) for r in result.fetchall()]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_next_rows_are_those_of_single_scans(spark):
+    rows = spark.range(300).selectExpr("id * 3 key", "id value")
+    starts = [(0, 0, 5), (1, 1, 4), (2, 3, 1), (3, 890, 9), (4, 897, 9), (5, 898, 9), (6, -5, 2), (7, 30, 0), (8, 1, 2)]
+    got = {}
+    for r in reads.next_rows(rows, spark.createDataFrame(starts, "scan int, start long, n int")).collect():
+        got.setdefault(r["scan"], []).append((r["key"], r["value"]))
+    want = {s: [(k, k // 3) for k in range(0, 900, 3) if k >= a][:n] for s, a, n in starts}
+    assert {s: sorted(x) for s, x in got.items()} == {s: x for s, x in want.items() if x}
