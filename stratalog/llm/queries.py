@@ -169,6 +169,14 @@ FROM b LEFT JOIN broken USING (r)
 """
 
 
+#: Where pages mark their article, the main text is all text in it.
+_PAGES = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|\z)', 1), '<[^>]*>', ' ', 'g') AS plain FROM pages),
+u AS (SELECT page_id, url, regexp_replace(replace(replace(replace(replace(plain, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;?', '&', 'g') AS plain FROM a),
+t AS (SELECT page_id, url, trim(regexp_replace(plain, '\s+', ' ', 'g')) AS text FROM u)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
+"""
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -258,4 +266,4 @@ FROM ruled JOIN b_scored USING (shape), limits
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix": _MIX, "op5_quality_rules": _RULES, "op6_decontaminate": _LEAKS, "op8_licenses": _LICENSES, "op9_shard": _SHARDS, "op10_url_filter": _URLS}
+    return {"op1_html": _PAGES, "op2_mix": _MIX, "op5_quality_rules": _RULES, "op6_decontaminate": _LEAKS, "op8_licenses": _LICENSES, "op9_shard": _SHARDS, "op10_url_filter": _URLS}
