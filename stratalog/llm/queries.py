@@ -202,6 +202,56 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base,
 FROM j LEFT JOIN base USING (r) LEFT JOIN found USING (r)
 """
 
+
+def _simhash_sql() -> str:
+    """XXH64 of every shingle in 128-bit arithmetic, majority bits, all pairs of different fingerprints, reachability."""
+    p1, p2, p3, p4, p5 = (f"{x}::UHUGEINT" for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+    m, seed = "18446744073709551616::UHUGEINT", simhash.SEED
+
+    def turn(x: str, bits: int) -> str:
+        return f"(({x}) * {1 << bits}::UHUGEINT % {m} + ({x}) // {1 << 64 - bits}::UHUGEINT)"
+
+    def lane(at: str, n: int) -> str:
+        return " + ".join(f"b[{at} + {i + 1}] * {1 << 8 * i}::UHUGEINT" for i in range(n))
+
+    def step(k: str, bits: int, mul: str, add: str) -> str:
+        return f"{{'h': 0::UHUGEINT, 'k': ({k}) % {m}, 'up': {1 << bits}::UHUGEINT, 'down': {1 << 64 - bits}::UHUGEINT, 'mul': {mul}, 'add': {add}}}"
+
+    starts = [(seed + 11400714785074694791 + 14029467366897019727) % (1 << 64), seed + 14029467366897019727, seed, (seed - 11400714785074694791) % (1 << 64)]
+    four = ", ".join(
+        f"list_reduce(list_transform(range(0, n // 32), lambda t: q[4 * t + {j + 1}]), lambda v, x: {turn(f'(v + x) % {m}', 31)} * {p1} % {m}, {x}::UHUGEINT) AS v{j}" for j, x in enumerate(starts)
+    )
+    merged = " + ".join(turn(f"v{j}", bits) for j, bits in enumerate((1, 7, 12, 18)))
+    rounds = ", ".join(f"{turn(f'v{j} * {p2} % {m}', 31)} * {p1} % {m}" for j in range(4))
+    bits = " + ".join(f"CASE WHEN 2 * sum((h >> {i}) & 1) > count(*) THEN {1 << i}::UHUGEINT ELSE 0::UHUGEINT END" for i in range(64))
+    return rf"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT r, array_to_string(words[i:i + 3], ' ') AS said FROM w, unnest(range(1, greatest(1, len(words) - 3) + 1)) u(i) WHERE len(words) > 0),
+d AS (SELECT said, strlen(said) AS n, hex(encode(said)) AS x FROM (SELECT DISTINCT said FROM s)),
+b AS (SELECT said, n, list_transform(range(0, n), lambda k: ('0x' || substr(x, CAST(2 * k + 1 AS BIGINT), 2))::UHUGEINT) AS b FROM d),
+l AS (SELECT said, n, b, list_transform(range(0, n // 8), lambda t: ({lane("8 * t", 8)}) * {p2} % {m}) AS q, n // 8 * 8 AS e FROM b),
+v AS (SELECT said, n, b, q, e, {four} FROM l),
+o AS (SELECT *, ((CASE WHEN n < 32 THEN {seed}::UHUGEINT + {p5} ELSE list_reduce([{rounds}], lambda h, k: (xor(h, k) * {p1} + {p4}) % {m}, ({merged}) % {m}) END) + n::UHUGEINT) % {m} AS h0,
+    list_concat(list_transform(q[4 * (n // 32) + 1:], lambda x: {step(f"{turn('x', 31)} * {p1}", 27, p1, p4)}),
+        CASE WHEN n % 8 >= 4 THEN [{step(f"({lane('e', 4)}) * {p1}", 23, p2, p3)}] ELSE [] END,
+        list_transform(b[e + CASE WHEN n % 8 >= 4 THEN 4 ELSE 0 END + 1:], lambda x: {step(f"x * {p5}", 11, p1, "0::UHUGEINT")})) AS steps FROM v),
+f AS (SELECT said, list_reduce(steps, lambda a, s: {{'h': ((xor(a.h, s.k) * s.up % {m} + xor(a.h, s.k) // s.down) * s.mul + s.add) % {m}, 'k': 0::UHUGEINT, 'up': 0::UHUGEINT, 'down': 0::UHUGEINT, 'mul': 0::UHUGEINT, 'add': 0::UHUGEINT}},
+    {{'h': h0, 'k': 0::UHUGEINT, 'up': 0::UHUGEINT, 'down': 0::UHUGEINT, 'mul': 0::UHUGEINT, 'add': 0::UHUGEINT}}).h AS h FROM o),
+a1 AS (SELECT said, xor(h, h // {1 << 33}::UHUGEINT) * {p2} % {m} AS h FROM f),
+a2 AS (SELECT said, xor(h, h // {1 << 29}::UHUGEINT) * {p3} % {m} AS h FROM a1),
+a3 AS (SELECT said, xor(h, h // {1 << 32}::UHUGEINT)::UBIGINT AS h FROM a2),
+p AS (SELECT r, ({bits})::UBIGINT AS fp FROM s JOIN a3 USING (said) GROUP BY r),
+docs AS (SELECT doc_id, coalesce(fp, 0::UBIGINT) AS fp FROM w LEFT JOIN p USING (r)),
+least_id AS (SELECT fp, min(doc_id) AS id FROM docs GROUP BY fp),
+near AS (SELECT x.fp AS a, y.fp AS b FROM least_id x JOIN least_id y ON x.fp <> y.fp AND bit_count(xor(x.fp, y.fp)) <= {simhash.RADIUS}),
+reach AS (SELECT fp, fp AS other FROM least_id UNION SELECT reach.fp, near.b FROM reach JOIN near ON reach.other = near.a),
+named AS (SELECT reach.fp, min(id) AS component_id FROM reach JOIN least_id ON reach.other = least_id.fp GROUP BY reach.fp)
+SELECT doc_id, lower(lpad(to_hex(fp), 16, '0')) AS fingerprint, component_id FROM docs JOIN named USING (fp)
+"""
+
+
+_SIMHASH = _simhash_sql()
+
 _SEED = 20240229
 _KEYS = [int(k) for k in sharding.Feistel(1, _SEED)._keys()]
 
@@ -266,4 +316,4 @@ FROM ruled JOIN b_scored USING (shape), limits
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_html": _PAGES, "op2_mix": _MIX, "op5_quality_rules": _RULES, "op6_decontaminate": _LEAKS, "op8_licenses": _LICENSES, "op9_shard": _SHARDS, "op10_url_filter": _URLS}
+    return {"op1_html": _PAGES, "op2_mix": _MIX, "op4_simhash": _SIMHASH, "op5_quality_rules": _RULES, "op6_decontaminate": _LEAKS, "op8_licenses": _LICENSES, "op9_shard": _SHARDS, "op10_url_filter": _URLS}
