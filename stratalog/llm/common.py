@@ -16,7 +16,7 @@ BROADCAST_ROWS = 100_000
 #: Largest size of the texts in such a table.
 BROADCAST_BYTES = 32 << 20
 #: Most files of a checkpoint for each core of the cluster.
-FILES_PER_CORE = 4
+FILES_PER_CORE = 2
 
 
 def text_or_empty(text: Column) -> Column:

@@ -169,10 +169,9 @@ def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, dense: int = DE
     rows = distinct.select("fp", tables.alias("x")).select("x.t", "x.key", "fp")
     out = []
     for level in range(LEVELS):
-        crowded, n = None, 0
-        if level + 1 < LEVELS:
-            crowded = checkpoint(rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > dense).select("t", "key"))
-            n = crowded.count()
+        crowded = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > dense).select("t", "key")
+        n = crowded.count() if level + 1 < LEVELS else 0
+        crowded = checkpoint(crowded) if n else crowded
         few = rows if not n else rows.join(broadcast_if_small(crowded, n), ["t", "key"], "left_anti")
         few = few.repartition("t", "key").sortWithinPartitions("t", "key")
         out.append(few.mapInArrow(_link(radius), "u long, v long"))
