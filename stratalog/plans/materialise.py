@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 #: Most files of a checkpoint for each core of the cluster.
-FILES_PER_CORE = 4
+FILES_PER_CORE = 2
 
 
 def shared_folder(spark: SparkSession) -> str:
