@@ -108,12 +108,17 @@ def window_keys(rows: DataFrame, size: int = WINDOW, literal: bool = False) -> D
     return spread.withColumn("_key", F.explode(F.when(F.col("_p") == F.col("_f"), F.array("_p")).otherwise(F.array("_p", "_f")))).drop("_p", "_f")
 
 
+def _values(tokens: str) -> Column:
+    """Hashes of lower-case tokens: what placeholders are compared by."""
+    return F.transform(tokens, lambda t: F.xxhash64(F.lower(t)))
+
+
 def _item_tokens(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     return benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), tokens(F.col(text_col)).alias("_tokens"))
 
 
 def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item_id, formed (the reading), _key, _item_at, _said (lower-case tokens), _kinds (as the reading has them), _slots (how
+    """item_id, formed (the reading), _key, _item_at, _said (the tokens' hashes), _kinds (as the reading has them), _slots (how
     many are placeholders), n_windows (distinct ones of the item in this reading).
 
     Windows of placeholders alone, or nearly, are left out; literal_windows has the items that have no other, and those of
@@ -123,7 +128,7 @@ def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str
     parts = []
     for formed in (False, True):
         kinds = F.transform("_tokens", lambda t: readings(t)[formed])  # noqa: B023  read at once
-        spread = rows.select("item_id", F.transform("_tokens", F.lower).alias("_low"), kinds.alias("_all")).withColumn("_item_at", F.explode(F.when(F.size("_low") >= WINDOW, F.sequence(F.lit(0), F.size("_low") - WINDOW))))
+        spread = rows.select("item_id", _values("_tokens").alias("_low"), kinds.alias("_all")).withColumn("_item_at", F.explode(F.when(F.size("_low") >= WINDOW, F.sequence(F.lit(0), F.size("_low") - WINDOW))))
         spread = spread.select("item_id", "_item_at", *[F.slice(c, F.col("_item_at") + 1, WINDOW).alias(n) for c, n in (("_low", "_said"), ("_all", "_kinds"))])
         key = F.xxhash64(*[F.xxhash64(F.col("_kinds")[k]) for k in range(WINDOW)])
         part = spread.select("item_id", F.lit(formed).alias("formed"), key.alias("_key"), "_item_at", "_said", "_kinds")
@@ -171,10 +176,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     own = checkpoint(own.select("doc_id", "_row", tokens(F.col("_text")).alias("_tokens")))
     n_items = items.count()
     theirs = window_keys(own).join(broadcast_if_small(items.select("_key").distinct(), n_items), "_key", "left_semi")
-    wanted = pairs.join(broadcast_if_small(items, n_items), "item_id").withColumnsRenamed({"doc_id": "_d", "_row": "_r", "_key": "_k"})
+    # only keys are dealt out by document; what the windows say is looked up for those that match
+    narrow = items.select("item_id", "formed", "n_windows", "_key", "_item_at", "_slots")
+    wanted = pairs.join(broadcast_if_small(narrow, n_items), "item_id").withColumnsRenamed({"doc_id": "_d", "_row": "_r", "_key": "_k"})
     hits = theirs.join(wanted, _same_text("_d", "_r") & (F.col("_key") == F.col("_k")))
-    told = own.select(F.col("doc_id").alias("_td"), F.col("_row").alias("_tr"), "_tokens")
-    hits = hits.join(told, _same_text("_td", "_tr")).withColumn("_says", F.when(F.col("_slots") > 0, F.slice("_tokens", F.col("_at") + 1, WINDOW)))
+    hits = hits.join(broadcast_if_small(items.select("item_id", "formed", "_key", "_item_at", "_said", "_kinds"), n_items), ["item_id", "formed", "_key", "_item_at"])
+    told = own.select(F.col("doc_id").alias("_td"), F.col("_row").alias("_tr"), _values("_tokens").alias("_all"))
+    hits = hits.join(told, _same_text("_td", "_tr")).withColumn("_says", F.when(F.col("_slots") > 0, F.slice("_all", F.col("_at") + 1, WINDOW)))
     hits = hits.select("doc_id", "_row", "item_id", "formed", "n_windows", "_key", "_item_at", "_at", "_slots", *[F.when(F.col("_slots") > 0, F.col(c)).alias(c) for c in ("_said", "_kinds")], "_says")
     literal = literal_windows(benchmark, items)
     for r in literal.groupBy("_size").agg(F.count(F.lit(1)).alias("n")).collect():  # WINDOW rows at most
@@ -188,7 +196,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     found = hits.groupBy(*pair, "n_windows", "_key").agg(F.count(F.lit(1)).alias("_n")).groupBy(*pair, "n_windows").agg(F.count(F.lit(1)).alias("n_hits"))
     found = found.withColumn("containment", F.col("n_hits") / F.col("n_windows")).filter(F.col("containment") >= CONTAINMENT)
     cells = hits.filter("_slots > 0").withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(WINDOW - 1)))).filter(F.startswith(F.col("_kinds")[F.col("_k")], F.lit("#")))
-    cells = cells.select(*pair, (F.col("_at") - F.col("_item_at")).alias("_shift"), (F.col("_item_at") + F.col("_k")).alias("_place"), F.col("_said")[F.col("_k")].alias("_said"), F.lower(F.col("_says")[F.col("_k")]).alias("_says"))
+    cells = cells.select(*pair, (F.col("_at") - F.col("_item_at")).alias("_shift"), (F.col("_item_at") + F.col("_k")).alias("_place"), F.col("_said")[F.col("_k")].alias("_said"), F.col("_says")[F.col("_k")].alias("_says"))
     # a place is in up to five windows and counts once
     cells = cells.groupBy(*pair, "_shift", "_place", "_said", "_says").agg(F.count(F.lit(1)).alias("_n"))
     cells = cells.groupBy(*pair, "_shift", "_said", "_says").agg(F.count(F.lit(1)).alias("_n"))
