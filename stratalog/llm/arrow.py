@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a single longer text is a piece of its own.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def texts(column: pa.Array) -> list[bytes]:

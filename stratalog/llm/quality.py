@@ -34,7 +34,7 @@ STEPS = 24_000
 RATE = 0.4
 THRESHOLD = 0.3
 #: Bytes of one text whose features are taken at once; what goes over the end of a part is carried on.
-SPAN = 1 << 20
+SPAN = 1 << 18
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3

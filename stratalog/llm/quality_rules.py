@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, broadcast_if_small, checkpoint, let, text_or_empty, word_array
+from .common import WORD, broadcast_if_small, checkpoint, counted, let, text_or_empty, word_array
 
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
@@ -159,7 +159,7 @@ def judge(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), id_col: str =
     """
     features = checkpoint(base_features(docs, id_col, text_col, stratum_col))
     cutoffs = checkpoint(select_cutoffs(features, labels, risk))
-    rows = features.join(broadcast_if_small(cutoffs, cutoffs.count()), "_stratum", "left")
+    rows = features.join(broadcast_if_small(cutoffs, *counted(cutoffs, "_stratum")), "_stratum", "left")
     broken = F.array_compact(F.array(*[F.when(F.expr(e) > F.col(n), F.lit(n)) for n, e in STATISTICS.items()]))
     rows = rows.withColumn("base_failed", base_failed()).withColumn("broken", broken)
     return rows.select(

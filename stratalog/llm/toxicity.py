@@ -56,7 +56,7 @@ UNLABELLED = 2500
 SAMPLE_BYTES = 64 << 20
 THRESHOLD = 0.3
 #: Bytes of one text whose words are hashed at once.
-SPAN = 1 << 20
+SPAN = 1 << 18
 
 _INK = re.compile(rb"[^ ]")
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
