@@ -37,7 +37,8 @@ VALUE_SCHEMA = T.StructType(
 
 
 class Durability(Enum):
-    """When a commit returns: SYNC after the entry is forced to disk, ASYNC and NO_SYNC once the file system has it.
+    """When a commit returns: SYNC after the entry is forced to disk, ASYNC and NO_SYNC once the file system has it. ASYNC entries
+    are forced to disk within Options.sync_interval.
 
     The entry becomes visible atomically in every mode; only a crash of the machine tells the modes apart.
     """
@@ -140,6 +141,8 @@ class Options:
     target_file_bytes: int = 128 << 20
     txn_max_keys: int = 100_000
     txn_max_bytes: int = 32 << 20
+    #: Seconds within which an ASYNC commit is forced to disk.
+    sync_interval: float = 0.2
     #: Commits between two checkpoints of the log.
     checkpoint_every: int = 100
     #: Ranges of tombstones that are joined as a broadcast nested loop; more go through disjoint segments.
@@ -159,7 +162,7 @@ class Options:
     def validate(self) -> Options:
         positive = (
             "max_key_size", "max_value_size", "buffer_bytes", "max_level0_files", "level0_trigger", "level1_bytes", "target_file_bytes",
-            "txn_max_keys", "txn_max_bytes", "checkpoint_every", "remember_commits", "cached_scans",
+            "txn_max_keys", "txn_max_bytes", "checkpoint_every", "remember_commits", "cached_scans", "sync_interval",
         )
         for name in positive:
             if getattr(self, name) <= 0:

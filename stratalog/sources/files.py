@@ -79,6 +79,12 @@ class Files:
         stream.close()
         return True
 
+    def force(self, name: str) -> None:
+        """Forces a file that was created without it to disk; nothing where the file system has no such call, or the file is gone."""
+        if (p := self._local(name)) and os.path.exists(p):
+            with open(p, "rb") as f:
+                os.fsync(f.fileno())
+
     def replace(self, name: str, data: bytes) -> None:
         """Writes the file, over an older one if need be; readers see the old or the new bytes."""
         self.delete(name)
