@@ -37,8 +37,9 @@ LISTS = {
     "slights": "ugly hate hates hated shut moronic idiotic brainless spineless coward cowards liar liars ignorant lazy crap damn sucks",
 }
 MINED = 4
-#: Words of each mined voter, at most.
+#: Words of each mined voter, at most, and how many times likelier such a word is in texts of label 1.
 MINED_WORDS = 48
+MINED_ODDS = 40
 #: Bytes of the beginnings of longer words that are features too.
 PREFIXES = (5, 6, 7, 8, 9)
 PATTERNS = ("shout", "bangs", "you_are", "stacked")
@@ -293,7 +294,7 @@ def mine(sets: list[np.ndarray], labels: np.ndarray) -> list[list[int]]:
         return [[] for _ in range(MINED)]
     a, b = _counts(sets, labels), _counts(sets, 1.0 - labels)
     odds = np.log((a + 0.1) / (pos + 0.2)) - np.log((b + 0.1) / (neg + 0.2))
-    worth = np.where((a >= max(3, 0.004 * pos)) & (odds > np.log(8)), (a / pos) * odds, 0)
+    worth = np.where((a >= max(3, 0.004 * pos)) & (odds > np.log(MINED_ODDS)), (a / pos) * odds, 0)
     best = [int(x) for x in np.argsort(-worth)[: MINED * MINED_WORDS] if worth[x] > 0]
     return [best[i::MINED] for i in range(MINED)]
 
